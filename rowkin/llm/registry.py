@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rowkin.llm import text_queries
+from rowkin.llm import corpus_queries, text_queries
 
-QUERIES = {**text_queries.QUERIES}
-ORACLES = {**text_queries.ORACLES}
+QUERIES = {**text_queries.QUERIES, **corpus_queries.QUERIES}
+ORACLES = {**text_queries.ORACLES, **corpus_queries.ORACLES}
