@@ -6,6 +6,8 @@ own name.
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 import regex
 
@@ -37,7 +39,12 @@ def _table(text: str) -> dict[str, str]:
 
 
 KINDS, PREFIXES = _table(STREET_KINDS), _table(STREET_PREFIXES)
-_NUMBER = regex.compile(r"^(\d{1,4})([a-z]?)$")
+_NUMBER = re.compile(r"^([0-9]{1,4})([a-z]?)$")
+_UNIT = re.compile(r"[0-9]{1,4}[a-z]?|[a-z]")
+_ADDED = re.compile(r"^([0-9]{1,4})(bis|ter|quater)$")
+_STREET_END = re.compile(r"(?<=.{4})stras+e$")
+_WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
+_PLAIN_WORD = re.compile(r"[a-z0-9]+")
 _LANDMARK_NOISE = frozenset(("to", "the", "of"))
 
 
@@ -78,18 +85,22 @@ def heard(word: str) -> str:
     return "".join(out)
 
 
+def _words(text: str) -> list[str]:
+    text = fold(text)
+    return (_PLAIN_WORD if text.isascii() else _WORD).findall(text)
+
+
 def parse_address(norm: str, city: str, state: str, postcode: str, unit: str, landmark: str) -> tuple[str, str, str, str, str, str, str]:
     """(anchor, prefix, core, kind, town, post, state) of a normalised address.
 
     ``anchor`` is the house number with its letter or addition, else the landmark with its relation in front of it, else "" for an address
     that names no building. ``core`` is the street's own name written as one word.
     """
-    text = fold(norm)
-    tokens = regex.findall(r"[\p{L}\p{M}\p{N}]+", text)
-    town = regex.sub(r"[^\p{L}\p{M}\p{N}]+", " ", fold(city)).strip()
-    post = regex.sub(r"\D+", "", postcode)
+    tokens = _words(norm)
+    town = " ".join(_words(city)) if city else ""
+    post = postcode if postcode.isdigit() else "".join(c for c in postcode if c.isdigit())
     mark = ""
-    words = [w for w in regex.findall(r"[\p{L}\p{M}\p{N}]+", fold(landmark)) if w not in _LANDMARK_NOISE]
+    words = [w for w in _words(landmark) if w not in _LANDMARK_NOISE] if landmark else []
     at = next((i for i, t in enumerate(tokens) if t in RELATIONS and (not words or RELATIONS[t] == RELATIONS.get(words[0], words[0]))), None)
     if at is not None:
         # the relation, then as many words as the landmark has; two where no column tells
@@ -102,7 +113,7 @@ def parse_address(norm: str, city: str, state: str, postcode: str, unit: str, la
         tokens = [*tokens[:at], "|", *tokens[stop:]]
     elif words:
         mark = RELATIONS.get(words[0], words[0]) + ":" + "".join(_usual(t) for t in words[1:])
-    state_words = " ".join(regex.findall(r"[\p{L}\p{M}\p{N}]+", fold(state)))
+    state_words = " ".join(_words(state)) if state else ""
     # the state stands after the town; strip its last occurrence by reversing
     if state_words:
         tokens = _strip(tokens[::-1], " ".join(state_words.split()[::-1]))[::-1]
@@ -120,7 +131,7 @@ def parse_address(norm: str, city: str, state: str, postcode: str, unit: str, la
             j = i + 1
             if tokens[j] in ("no", "nr") and j + 1 < n:
                 j += 1
-            if regex.fullmatch(r"\d{1,4}[a-z]?|[a-z]", tokens[j]):
+            if _UNIT.fullmatch(tokens[j]):
                 i = j + 1
                 continue
         if t.isdigit() and len(t) >= 5 and t == post or post and len(post) >= 4 and t.isdigit() and i + 1 < n and tokens[i + 1].isdigit() and t + tokens[i + 1] == post:
@@ -138,8 +149,12 @@ def parse_address(norm: str, city: str, state: str, postcode: str, unit: str, la
                     i += 1
             i += 1
             continue
-        if regex.match(r"^(\d{1,4})(bis|ter|quater)$", t) and not number:
-            number, addition = regex.match(r"^(\d+)(\D+)$", t).groups()
+        if t.isalpha():
+            kept.append(t)
+            i += 1
+            continue
+        if not number and (m := _ADDED.match(t)):
+            number, addition = m.groups()
             i += 1
             continue
         if any(c.isdigit() for c in t):
@@ -168,7 +183,7 @@ def parse_address(norm: str, city: str, state: str, postcode: str, unit: str, la
                 prefix.add(PREFIXES[t])
             elif t in KINDS:
                 kind = kind or KINDS[t]
-    core = regex.sub(r"(?<=.{4})stras+e$", "", "".join(kept[k] for k in own))
+    core = _STREET_END.sub("", "".join(kept[k] for k in own))
     anchor = number + addition if number else mark
     return anchor, " ".join(sorted(prefix)), core, kind, town, post, state_words.replace(" ", "")
 
