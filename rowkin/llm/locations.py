@@ -31,6 +31,20 @@ def edits(a: str, b: str, most: int) -> int:
         return 0
     if abs(len(a) - len(b)) > most:
         return most + 1
+    # what both begin and end with takes no edit
+    n, i = min(len(a), len(b)), 0
+    while i < n and a[i] == b[i]:
+        i += 1
+    j = 0
+    while j < n - i and a[-1 - j] == b[-1 - j]:
+        j += 1
+    a, b = a[i : len(a) - j], b[i : len(b) - j]
+    if not a or not b:
+        return len(a) + len(b)
+    if len(a) == len(b) == 2 and a == b[::-1]:
+        return 1
+    if most == 1:
+        return 1 if len(a) == len(b) == 1 else 2
     before: list[int] = []
     last = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -35,6 +36,9 @@ electricals: इलेक्ट्रिकल्स; travels: ट्रैव
 LEGAL = frozenset("llc ltd limited inc incorporated corp corporation co company pvt private llp lp plc sarl sas sasu eurl gmbh ag kg ug ohg sa sl slu sc srl p pra li".split())
 NOISE = frozenset("the ms and sri shri smt maison ets firma casa etablissements wwww www com test example".split())
 _BEHIND = regex.compile(r"^.*?\bholdings?\b[^\p{L}]*(?:dba|d b a|d/b/a|trading as|t/a|t a|aka|doing business as)\b")
+_AROUND = regex.compile(r"\bwww\.|\.(?:com|test|example|net|org|in|fr|de|es)\b|\bm/s\b")
+_WORDS = regex.compile(r"[\p{L}\p{M}‌‍]+|\d+")
+_PLAIN_WORDS = re.compile(r"[a-z]+|[0-9]+")
 _DOTTED = regex.compile(r"\b(?:\p{L}\.){2,}")
 
 
@@ -55,6 +59,11 @@ for _form, _name in _short_forms(TRADES_DEVANAGARI).items():
     if not _form.isascii():
         TRADE[fold(_form)] = _name
         TRADE[romanise(fold(_form))] = _name
+#: Trades by their spellings with a letter left out.
+_TRADES_SHORT: dict[str, set[str]] = {}
+for _t in TRADE_WORDS:
+    for _key in {_t, *(_t[:_i] + _t[_i + 1 :] for _i in range(len(_t)))}:
+        _TRADES_SHORT.setdefault(_key, set()).add(_t)
 _ENDS = sorted((w for w in TRADE if w.isascii() and len(w) >= 3), key=lambda w: (-len(w), w))
 _STARTS = sorted((w for w in (*TRADE, *GIVEN) if w.isascii() and len(w) >= 4), key=lambda w: (-len(w), w))
 
@@ -74,8 +83,11 @@ def trade_of(word: str) -> str:
     if word in TRADE:
         return TRADE[word]
     if len(word) >= 6:
-        for t in TRADE_WORDS:
-            if abs(len(t) - len(word)) <= 1 and (t[0] == word[0] or t[1:3] == word[1:3] or t[0] == word[1:2]) and edits(t, word, 1) <= 1:
+        near = set(_TRADES_SHORT.get(word, ()))
+        for i in range(len(word)):
+            near |= _TRADES_SHORT.get(word[:i] + word[i + 1 :], set())
+        for t in sorted(near):
+            if edits(t, word, 1) <= 1:
                 return t
     return ""
 
@@ -115,14 +127,16 @@ def _unglue(word: str) -> tuple[list[str], str, str]:
 def parse_name(name: str) -> Name:
     """The parts of a name in any script."""
     text = fold(name)
-    text = _BEHIND.sub(" ", text)
-    text = _DOTTED.sub(lambda m: m.group().replace(".", ""), text)
-    text = regex.sub(r"\bwww\.|\.(?:com|test|example|net|org|in|fr|de|es)\b|\bm/s\b", " ", text)
+    if "holding" in text:
+        text = _BEHIND.sub(" ", text)
+    if "." in text or "/" in text:
+        text = _DOTTED.sub(lambda m: m.group().replace(".", ""), text)
+        text = _AROUND.sub(" ", text)
     given = initial = ""
     words: list[str] = []
     trades: set[str] = set()
     foreign = False
-    tokens = regex.findall(r"[\p{L}\p{M}‌‍]+|\d+", text)
+    tokens = (_PLAIN_WORDS if text.isascii() else _WORDS).findall(text)
     kept = [t for t in tokens if t not in LEGAL and t not in NOISE]
     for t in kept or tokens:
         if t in TRADE:
@@ -210,14 +224,15 @@ def _word_score(a: str, b: str, by_sound: bool) -> float:
     short, long = sorted((a, b), key=len)
     if len(short) >= 4 and len(short) < len(long) and (long.startswith(short) or short[-1] == "k" and long.startswith(short[:-1] + "ch")):
         return 0.9  # cut short
-    if len(short) >= 4 and abs(len(a) - len(b)) <= 2:
-        e = edits(a, b, 2)
-        if e <= 1 or e == 2 and len(short) >= 7:
-            return max(0.9, jaro_winkler(a, b))
     if len(short) == 3 and len(long) == 3:
         return 0.9 if edits(a, b, 1) <= 1 and code(a) == code(b) else 0.0
+    if len(short) < 4 or len(long) - len(short) > 2:
+        return 0.0
+    e = edits(a, b, 2)
+    if e > 2:
+        return 0.0
     s = jaro_winkler(a, b)
-    return s if s >= 0.93 and len(short) >= 5 and abs(len(a) - len(b)) <= 2 else 0.0
+    return max(0.9, s) if e <= 1 or len(short) >= 7 else s if s >= 0.93 and len(short) >= 5 else 0.0
 
 
 @lru_cache(maxsize=1 << 17)
@@ -232,8 +247,9 @@ def words_score(a: tuple[str, ...], b: tuple[str, ...], by_sound: bool = False)
             best = _word_score(a[0], b[0], by_sound)
         elif len(a) == 2:
             straight = sorted((_word_score(a[0], b[0], by_sound), _word_score(a[1], b[1], by_sound)))
-            crossed = sorted((_word_score(a[0], b[1], by_sound), _word_score(a[1], b[0], by_sound)))
-            best = max(0.5 * sum(x) if x[0] > 0 else 0.0 for x in (straight, crossed))
+            best = 0.5 * sum(straight) if straight[0] > 0 else 0.0
+            if not best and (cross := _word_score(a[0], b[1], by_sound)) and (other := _word_score(a[1], b[0], by_sound)):
+                best = 0.5 * (cross + other)
         else:
             left = list(b)
             total, least = 0.0, 1.0
