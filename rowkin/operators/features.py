@@ -170,3 +170,15 @@ def name_scores(pairs: DataFrame, text: DataFrame) -> DataFrame:
         out = out.withColumn(f"fn_{scorer}", similarity(scorer, "a", "b"))
     src = Window.partitionBy("s1_id", F.substring("cand_id", 2, 1))
     return out.withColumn("q_name_gap_src", F.max("fn_token_set").over(src) - F.col("fn_token_set")).drop("a", "b")
+
+
+def address_scores(pairs: DataFrame, text: DataFrame) -> DataFrame:
+    """``(s1_id, cand_id, fa_*)``: likeness of the normalised addresses, null where one is empty; ``text`` has entity_id, addr."""
+    a = text.select(F.col("entity_id").alias("s1_id"), F.coalesce("addr", F.lit("")).alias("a"))
+    b = text.select(F.col("entity_id").alias("cand_id"), F.coalesce("addr", F.lit("")).alias("b"))
+    out = pairs.select("s1_id", "cand_id").join(a, "s1_id").join(b, "cand_id")
+    both = (F.col("a") != "") & (F.col("b") != "")
+    for scorer in ("token_sort", "token_set", "partial"):
+        out = out.withColumn(f"fa_{scorer}", F.when(both, similarity(scorer, "a", "b")))
+    common = F.size(F.array_intersect(F.split("a", " "), F.split("b", " "))) / F.size(F.array_union(F.split("a", " "), F.split("b", " ")))
+    return out.withColumn("fa_words", F.when(both, common)).drop("a", "b")

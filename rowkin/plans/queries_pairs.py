@@ -299,3 +299,14 @@ def q_equalities(t):
 @query()
 def q_name_scores(t):
     return ft.name_scores(t.cands, t.records.select("entity_id", F.col("name_core").alias("name")))
+
+
+@query()
+def q_addr_scores(t):
+    return ft.address_scores(t.cands, t.records.select("entity_id", F.col("addr_norm").alias("addr")))
+
+
+@query(with_("rec") + """SELECT c.s1_id, c.cand_id, CASE WHEN a.addr_norm <> '' AND b.addr_norm <> '' THEN round(len(list_intersect(list_distinct(string_split(a.addr_norm, ' ')), list_distinct(string_split(b.addr_norm, ' '))))
+    / len(list_distinct(list_concat(string_split(a.addr_norm, ' '), string_split(b.addr_norm, ' ')))), 6) END AS fa_words FROM candidates_train c JOIN rec a ON a.entity_id = c.s1_id JOIN rec b ON b.entity_id = c.cand_id""")
+def q_addr_words(t):
+    return rounded(ft.address_scores(t.cands, t.records.select("entity_id", F.col("addr_norm").alias("addr"))).select("s1_id", "cand_id", "fa_words"), "fa_words")
