@@ -26,3 +26,15 @@ def top_k(df: DataFrame, keys: Sequence[str], score: str, tie: str, k: int) -> D
     """The k rows of greatest ``score`` per key, ties by ``tie``; Catalyst limits each task's share before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(F.desc(score), tie)
     return df.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= k).drop("__rank")
+
+
+def cumulative(values: DataFrame, by: str, amount: str) -> DataFrame:
+    """``values`` with ``upto`` (sum of ``amount`` over rows of ``by`` up to the row's own) and ``total``; ``by`` is unique.
+
+    Sums run within ranges of ``by`` and then over the ranges, so no task sees all rows; the ranges are as many as partitions.
+    """
+    ranged = values.repartitionByRange(by).withColumn("__part", F.spark_partition_id())
+    inside = ranged.withColumn("__in", F.sum(amount).over(Window.partitionBy("__part").orderBy(by)))
+    sizes = ranged.groupBy("__part").agg(F.sum(amount).alias("__size"))
+    before = sizes.select("__part", (F.sum("__size").over(Window.orderBy("__part")) - F.col("__size")).alias("__before"), F.sum("__size").over(Window.partitionBy(F.lit(1))).alias("total"))
+    return inside.join(before, "__part").withColumn("upto", F.col("__before") + F.col("__in")).drop("__part", "__in", "__before")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowkin.operators.common import PASSES
+from rowkin.operators.common import PASSES, cumulative
 
 
 def f05(tp: Column, n_pred: Column, n_true: Column) -> Column:
@@ -181,8 +181,8 @@ def roc_auc(scored: DataFrame, score: str = "prob", label: str = "y") -> DataFra
     """One row ``(auc, brier, n)``: AUC by rank sums over distinct scores, and the mean squared error; null scores are left out."""
     rows = scored.filter(F.col(score).isNotNull()).select(F.col(score).cast("double").alias("s"), F.col(label).cast("int").alias("y"))
     by = rows.groupBy("s").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"), F.sum((F.col("s") - F.col("y")) * (F.col("s") - F.col("y"))).alias("e"))
-    below = F.sum("q").over(Window.orderBy("s")) - F.col("q")  # one row per distinct score
-    return by.withColumn("below", below).agg(
+    below = F.col("upto") - F.col("q")
+    return cumulative(by, "s", "q").withColumn("below", below).agg(
         (F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)) / (F.sum("p") * F.sum("q"))).alias("auc"), (F.sum("e") / F.sum(F.col("p") + F.col("q"))).alias("brier"), F.sum(F.col("p") + F.col("q")).alias("n")
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowkin.functions.text import dominant_script, noise_flags, non_latin_scripts, word_tokens
+from rowkin.operators.common import cumulative
 
 LEVELS = (0.01, 0.25, 0.5, 0.75, 0.95, 0.99)
 
@@ -96,10 +97,7 @@ def id_spearman(truth: DataFrame) -> DataFrame:
     ids = truth.select(F.expr("try_cast(substring(s1_id, 4) as bigint)").alias("a"), F.expr("try_cast(substring(cand_id, 4) as bigint)").alias("b")).dropna()
 
     def ranks(c: str) -> DataFrame:
-        v = ids.groupBy(c).agg(F.count(F.lit(1)).alias("k")).repartitionByRange(c).withColumn("part", F.spark_partition_id())
-        v = v.withColumn("upto", F.sum("k").over(Window.partitionBy("part").orderBy(c)))
-        parts = v.groupBy("part").agg(F.sum("k").alias("size"))
-        before = parts.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))  # as many rows as partitions
-        return v.join(before, "part").select(c, (F.col("before") + F.col("upto") - F.col("k") + (F.col("k") + 1) / 2).alias(f"r{c}"))
+        v = cumulative(ids.groupBy(c).agg(F.count(F.lit(1)).alias("k")), c, "k")
+        return v.select(c, (F.col("upto") - F.col("k") + (F.col("k") + 1) / 2).alias(f"r{c}"))
 
     return ids.join(ranks("a"), "a").join(ranks("b"), "b").agg(F.count(F.lit(1)).alias("n"), F.corr("ra", "rb").alias("spearman"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rowkin.functions import text as tx
 from rowkin.functions.similarity import normalised_edit_distance, similarity
 from rowkin.operators import learning as ln
-from rowkin.operators.common import source_of
+from rowkin.operators.common import cumulative, source_of
 from rowkin.plans.tables import Tables, with_
 from rowkin.sources import files
 
@@ -53,16 +53,10 @@ def scan_by_ids(t):
 
 @query(with_("pr", "excl", "sel", "uni") + "SELECT CAST(row_number() OVER (ORDER BY u.s1_id) AS INTEGER) AS row_no, u.s1_id AS source1_entity_id, coalesce(m.l, '') AS matched_entity_ids FROM uni u LEFT JOIN (SELECT s1_id, string_agg(cand_id, ',' ORDER BY cand_id) AS l FROM sel GROUP BY s1_id) m USING (s1_id)")
 def sink_id_lists(t):
-    from pyspark.sql import Window
-
     from rowkin.operators.selection import select_threshold
 
     # the universe's file order; here the order of the ids
-    rows = t.universe.select("s1_id").repartitionByRange("s1_id").withColumn("part", F.spark_partition_id())
-    inside = rows.withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy("s1_id")))
-    sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("b"))
-    universe = inside.join(before, "part").select("s1_id", (F.col("b") + F.col("i")).cast("int").alias("row_no"))
+    universe = cumulative(t.universe.select("s1_id", F.lit(1).alias("one")), "s1_id", "one").select("s1_id", F.col("upto").cast("int").alias("row_no"))
     pool = t.records.filter("source in (2, 3)").select("entity_id")
     return files.id_list_frame(universe, select_threshold(t.preds, 0.5), pool)
 
