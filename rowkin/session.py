@@ -39,6 +39,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return _own_scratch[key]
 
 
+def _forget_at_end(spark: SparkSession, path: str) -> None:
+    """Have the file system delete a scratch table when the application's JVM ends."""
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is not None:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` once into the shared scratch folder and read it back.
 
@@ -47,6 +55,7 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _forget_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
