@@ -86,7 +86,8 @@ def threshold_curve(preds: DataFrame, truth: DataFrame, universe: DataFrame, gri
     empty = base.agg(F.sum(F.when(F.col("n_true") == 0, 1.0).otherwise(0.0))).first()[0] or 0.0
     spark = preds.sparkSession
     axis = spark.createDataFrame([(i + 1, float(g)) for i, g in enumerate(grid)], "p int, threshold double")
-    reached = axis.join(F.broadcast(gains.filter("place > 0")), F.col("place") >= F.col("p"), "left").groupBy("p", "threshold").agg(F.coalesce(F.sum("gain"), F.lit(0.0)).alias("g"))  # both sides have at most as many rows as the grid
+    summed = gains.filter("place > 0").select(F.explode(F.sequence(F.lit(1), "place")).alias("p"), "gain").groupBy("p").agg(F.sum("gain").alias("g"))
+    reached = axis.join(summed, "p", "left").withColumn("g", F.coalesce("g", F.lit(0.0)))
     return reached.select("threshold", ((F.col("g") + F.lit(empty)) / F.lit(n)).alias("macro_f05"))
 
 
