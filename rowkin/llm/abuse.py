@@ -154,24 +154,24 @@ class Automaton:
     def accepts(self, tokens: list[tuple[frozenset[str], frozenset[str]]]) -> int | None:
         """The place of the first token that the pattern's classes begin at, or None."""
         n = len(tokens)
-        ends: dict[int, int] = {i: i for i in range(n + 1)}  # next place -> begin
-        first = True
+        ends: dict[int, int] | None = None  # next place -> begin; None: anywhere
         for gap, element in self.steps:
-            reached: dict[int, int] = {}
             if element == "^":
                 ends = {0: 0}
-                first = False
                 continue
             if element == "$":
-                ends = {e: b for e, b in ends.items() if e >= n - gap}
+                ends = {e: b for e, b in (ends or {}).items() if e >= n - gap}
                 continue
             words, classes = element
-            for place, begin in ends.items():
-                for at in range(place, min(n, place + gap + 1)):
-                    w, c = tokens[at]
-                    if not words.isdisjoint(w) or not classes.isdisjoint(c):
-                        reached.setdefault(at + 1, at if first else begin)
-            first = False
+            reached: dict[int, int] = {}
+            if ends is None:
+                reached = {at + 1: at for at, (w, c) in enumerate(tokens) if not words.isdisjoint(w) or not classes.isdisjoint(c)}
+            else:
+                for place, begin in ends.items():
+                    for at in range(place, min(n, place + gap + 1)):
+                        w, c = tokens[at]
+                        if not words.isdisjoint(w) or not classes.isdisjoint(c):
+                            reached.setdefault(at + 1, begin)
             ends = reached
             if not ends:
                 return None
@@ -190,6 +190,10 @@ class Grammar:
                 self.by_anchor.setdefault(name, []).append(k)
 
     @lru_cache(maxsize=1 << 15)
+    def short_clause(self, clause: str) -> float:
+        """``clause`` remembered; reviews repeat many sentences."""
+        return self.clause(clause)
+
     def clause(self, clause: str) -> float:
         """The greatest weight of the automata that accept the clause."""
         tokens = self.lexicon.read(clause)
@@ -220,7 +224,7 @@ class Grammar:
         rest = 1.0
         for part in _CLAUSE.split(fold(text)):
             if part and len(part) > 2:
-                rest *= 1.0 - self.clause(part)
+                rest *= 1.0 - (self.short_clause(part) if len(part) < 400 else self.clause(part))
         return 1.0 - rest
 
 

@@ -82,8 +82,8 @@ def clean_characters(text: str) -> tuple[str, int]:
         if kind == "plain":
             out.append(ch)
             continue
-        if kind == "unseen" and ch in "‌‍" and i and _indic(text[i - 1]):
-            out.append(ch)  # a joiner inside an Indic word
+        if kind == "unseen" and ch in "‌‍" and i and _indic(text[i - 1]) and (unicodedata.combining(text[i - 1]) == 9 or unicodedata.combining(text[i + 1 : i + 2] or " ") == 9):
+            out.append(ch)  # a joiner at the virama of an Indic word
             continue
         if kind == "mark":
             marks += 1
