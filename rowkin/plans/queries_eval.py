@@ -79,12 +79,8 @@ def report_topn(t):
 @query(with_("rec", "truth", "sd AS (SELECT entity_id, coalesce(country, '') AS c, coalesce(name_core, '') AS n, coalesce(postcode, '') AS p FROM rec)", "lost AS (SELECT s1_id, cand_id FROM truth ANTI JOIN candidates_train USING (s1_id, cand_id))") + """SELECT s1_id, cand_id, round(ned, 6) AS ned, CASE WHEN ac <> bc THEN 'cross_country' WHEN an = '' OR bn = '' THEN 'empty_fields' WHEN ned > 0.6::DOUBLE AND ap <> '' AND ap = bp THEN 'address_only_match' WHEN ned > 0.6::DOUBLE THEN 'name_very_different' ELSE 'other' END AS reason
     FROM (SELECT s1_id, cand_id, a.c AS ac, b.c AS bc, a.n AS an, b.n AS bn, a.p AS ap, b.p AS bp, CASE WHEN greatest(length(a.n), length(b.n)) = 0 THEN 0.0::DOUBLE ELSE levenshtein(a.n, b.n) / greatest(length(a.n), length(b.n)) END AS ned FROM lost JOIN sd a ON a.entity_id = s1_id JOIN sd b ON b.entity_id = cand_id WHERE NOT regexp_matches(a.n || b.n, '[^\\x00-\\x7F]'))""")
 def misses(t):
-    from rowkin.functions.text import is_ascii
-
-    # edit distance is by character here and by byte in the SQL, so pairs in ASCII are compared
-    names = t.records.select("entity_id", F.coalesce("name_core", F.lit("")).alias("name"))
-    plain = t.truth.join(names.select(F.col("entity_id").alias("s1_id"), F.col("name").alias("x")), "s1_id").join(names.select(F.col("entity_id").alias("cand_id"), F.col("name").alias("y")), "cand_id").filter(is_ascii(F.concat("x", "y"))).select("s1_id", "cand_id")
-    return rounded(mt.misses(t.cands, plain, t.records), "ned")
+    # every lost pair, by character; the SQL counts bytes and so lists the pairs in ASCII
+    return rounded(mt.misses(t.cands, t.truth, t.records), "ned")
 
 
 @query(with_("uni", "bst AS (SELECT s1_id, count(*) AS n, max(CAST(bs_tfidf_name AS DOUBLE)) AS best FROM candidates_train GROUP BY s1_id)") + """SELECT *, coalesce(mean_best < 0.5::DOUBLE OR share_low > 0.2::DOUBLE, false) AS weak FROM (SELECT CASE WHEN country IN ('France', 'India') THEN country ELSE 'other' END AS land, count(*) AS n_s1, round(avg(coalesce(n, 0)), 6) AS mean_candidates, round(quantile_cont(coalesce(n, 0), 0.5), 6) AS p50, round(quantile_cont(coalesce(n, 0), 0.95), 6) AS p95,

@@ -182,8 +182,9 @@ def re_null_placeholder(t):
     count(*) FILTER (lower(business_name) = business_name AND upper(business_name) <> business_name) AS lower, count(*) FILTER (regexp_matches(business_name, '(?i)(^|[^\p{L}\p{N}_])(dba|d/b/a|t/a|trading as|f/k/a|aka)([^\p{L}\p{N}_]|$)')) AS dba,
     count(*) FILTER (regexp_matches(business_name, '(?i)(^|[^\p{L}\p{N}_])(""" + tx.LEGAL_WORDS + r""")([^\p{L}\p{N}_]|$)')) AS legal_word FROM records WHERE NOT regexp_matches(business_name, '[^\x00-\x7F]') GROUP BY source""")
 def re_noise_flags(t):
+    # every record; the SQL counts those in ASCII
     flags = tx.noise_flags("business_name")
-    rows = t.raw("records").filter(tx.is_ascii("business_name"))
+    rows = t.raw("records").filter("business_name is not null")
     return rows.groupBy("source").agg(*[F.count_if(flags[k]).alias(k) for k in ("leading_junk", "upper", "lower", "dba", "legal_word")])
 
 
@@ -217,12 +218,14 @@ def _named(t):
 
 @query(f"SELECT s1_id, cand_id, round(jaro_winkler_similarity(a, b), 6) AS jw FROM ({_PAIRS}) WHERE a <> '' AND b <> '' AND NOT regexp_matches(a || b, '[^\\x00-\\x7F]')")
 def sim_jw(t):
-    return _named(t).filter("a <> '' and b <> ''").filter(tx.is_ascii(F.concat("a", "b"))).select("s1_id", "cand_id", F.round(similarity("jaro_winkler", "a", "b"), 6).alias("jw"))
+    # every pair, by character; the SQL counts bytes and so lists the pairs in ASCII
+    return _named(t).filter("a <> '' and b <> ''").select("s1_id", "cand_id", F.round(similarity("jaro_winkler", "a", "b"), 6).alias("jw"))
 
 
 @query(f"SELECT s1_id, cand_id, round(CASE WHEN greatest(length(a), length(b)) = 0 THEN 0 ELSE levenshtein(a, b) / greatest(length(a), length(b)) END, 6) AS ned FROM ({_PAIRS}) WHERE NOT regexp_matches(a || b, '[^\\x00-\\x7F]')")
 def sim_ned(t):
-    return _named(t).filter(tx.is_ascii(F.concat("a", "b"))).select("s1_id", "cand_id", F.round(normalised_edit_distance("a", "b"), 6).alias("ned"))
+    # every pair, by character; the SQL counts bytes and so lists the pairs in ASCII
+    return _named(t).filter("a is not null and b is not null").select("s1_id", "cand_id", F.round(normalised_edit_distance("a", "b"), 6).alias("ned"))
 
 
 @query()
