@@ -31,15 +31,31 @@ def pair_inputs(cands: DataFrame, records: DataFrame) -> tuple[DataFrame, list[s
     return rows, [c for c in rows.columns if c.startswith("fc_")]
 
 
+def labelled(rows: DataFrame, t: Tables) -> DataFrame:
+    """``rows`` of records that have a fold, with ``fold`` and ``y``."""
+    return rows.join(t.universe.select("s1_id", "fold"), "s1_id").join(t.truth.select("s1_id", "cand_id", F.lit(1).alias("y")), ["s1_id", "cand_id"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
+
+
+def write_lists(spark: SparkSession, universe: DataFrame, records: DataFrame, chosen: DataFrame, cands: DataFrame, out: str) -> None:
+    """The two list files of a split, one line per record of ``universe``, validated."""
+    order = universe.select("s1_id").rdd.map(lambda r: r[0]).sortBy(lambda x: x).zipWithIndex().toDF("s1_id string, row_no long")  # numbers rows without one task seeing all
+    pool = records.filter("source in (2, 3)").select("entity_id")
+    for name, pairs, column in (("matching_results", chosen, "matched_entity_ids"), ("candidate_pairs", cands, "candidate_entity_ids")):
+        files.write_id_lists(files.id_list_frame(order, pairs.select("s1_id", "cand_id"), pool, list_col=column), f"{out}/{name}.tsv")
+    faults = files.validate_id_lists(spark, f"{out}/matching_results.tsv", f"{out}/candidate_pairs.tsv", order, pool)
+    if faults:
+        raise ValueError(f"result files: {faults}")
+
+
 def run(spark: SparkSession, tables: str, out: str, rounds: int = 10) -> dict:
-    """Candidates, features, out-of-fold scores, calibration, threshold and match lists; every stage is written below ``out``."""
+    """Candidates, features, out-of-fold scores, calibration, threshold and match lists; every stage is written below ``out``, and the lists of split test below ``out``/test."""
     t = Tables(spark, tables)
     neighbours = t.cands.filter("blk_dense").select("s1_id", "cand_id", F.col("bs_dense").alias("score"))
     files.write_stage(bl.generate(t.records, neighbours=neighbours), f"{out}/candidates")
     cands = spark.read.parquet(f"{out}/candidates")
     rows, names = pair_inputs(cands, t.records)
     files.write_stage(rows, f"{out}/features")
-    rows = spark.read.parquet(f"{out}/features").join(t.universe.select("s1_id", "fold"), "s1_id").join(t.truth.select("s1_id", "cand_id", F.lit(1).alias("y")), ["s1_id", "cand_id"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
+    rows = labelled(spark.read.parquet(f"{out}/features"), t)
     folds = [r[0] for r in t.universe.select("fold").distinct().orderBy("fold").collect()]
     oof, _ = ln.train_boosted(rows, names, folds, rounds=rounds)
     files.write_stage(ln.calibrate_oof(oof, t.truth, folds).select("s1_id", "cand_id", "fold", F.col("prob_calibrated").alias("prob")), f"{out}/preds")
@@ -47,13 +63,33 @@ def run(spark: SparkSession, tables: str, out: str, rounds: int = 10) -> dict:
     best = sl.best_threshold(sl.threshold_curve(preds, t.truth, t.universe, GRID)).first()
     params = {"method": "threshold", "threshold": best["threshold"], "exclusive": True, "macro_f05": best["macro_f05"]}
     files.save_json(f"{out}/params.json", params)
-    order = t.universe.select("s1_id").rdd.map(lambda r: r[0]).sortBy(lambda x: x).zipWithIndex().toDF("s1_id string, row_no long")  # numbers rows without one task seeing all
-    pool = t.records.filter("source in (2, 3)").select("entity_id")
-    for name, pairs, column in (("matching_results", sl.select_threshold(preds, best["threshold"]), "matched_entity_ids"), ("candidate_pairs", cands, "candidate_entity_ids")):
-        files.write_id_lists(files.id_list_frame(order, pairs.select("s1_id", "cand_id"), pool, list_col=column), f"{out}/{name}.tsv")
-    faults = files.validate_id_lists(spark, f"{out}/matching_results.tsv", f"{out}/candidate_pairs.tsv", order, pool)
-    if faults:
-        raise ValueError(f"result files: {faults}")
+    write_lists(spark, t.universe, t.records, sl.select_threshold(preds, best["threshold"]), cands, out)
+    submit(spark, tables, f"{out}/test", rounds)
+    return params
+
+
+def submit(spark: SparkSession, tables: str, out: str, rounds: int = 10) -> dict:
+    """Match lists of every source-1 record of split test, written below ``out``.
+
+    Vector neighbours are given for train only, so the model, its calibration and its threshold come from train candidates made without
+    them, by the passes that make the test candidates.
+    """
+    train, test = Tables(spark, tables), Tables(spark, tables, "test")
+    names: list[str] = []
+    for t in (train, test):
+        files.write_stage(bl.generate(t.records), f"{out}/candidates_{t.split}")
+        rows, names = pair_inputs(spark.read.parquet(f"{out}/candidates_{t.split}"), t.records)
+        files.write_stage(rows, f"{out}/features_{t.split}")
+    folds = [r[0] for r in train.universe.select("fold").distinct().orderBy("fold").collect()]
+    oof, model = ln.train_boosted(labelled(spark.read.parquet(f"{out}/features_train"), train), names, folds, rounds=rounds)
+    files.write_stage(oof, f"{out}/oof")
+    oof = spark.read.parquet(f"{out}/oof")
+    best = sl.best_threshold(sl.threshold_curve(ln.calibrate_oof(oof, train.truth, folds).select("s1_id", "cand_id", F.col("prob_calibrated").alias("prob")), train.truth, train.universe, GRID)).first()
+    scored = ln.apply_calibrator(ln.fit_calibrator(oof, train.truth), ln.predict(model, spark.read.parquet(f"{out}/features_test"), names))
+    files.write_stage(scored.select("s1_id", "cand_id", "prob"), f"{out}/preds")
+    params = {"method": "threshold", "threshold": best["threshold"], "exclusive": True, "macro_f05_train": best["macro_f05"]}
+    files.save_json(f"{out}/params.json", params)
+    write_lists(spark, test.first, test.records, sl.select_threshold(spark.read.parquet(f"{out}/preds"), best["threshold"]), spark.read.parquet(f"{out}/candidates_test"), out)
     return params
 
 

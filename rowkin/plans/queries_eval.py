@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rowkin.operators import blocking as bl
 from rowkin.operators import learning as ln
 from rowkin.operators import metrics as mt
 from rowkin.operators import profiling as pf
@@ -12,6 +13,7 @@ from rowkin.operators.common import PASSES
 from rowkin.plans.queries_pairs import rounded
 from rowkin.plans.queries_scan import S as SCAN_SQL
 from rowkin.plans.tables import Tables, with_
+from rowkin.session import cut
 
 Q: dict = {}
 S: dict[str, str] = {}
@@ -255,8 +257,8 @@ def tune_select(t):
     return rounded(out, "macro_f05")
 
 
-def _model_inputs(t):
-    rows, names = ln.prune_inputs(t.cands)
+def _model_inputs(t, cands=None):
+    rows, names = ln.prune_inputs(t.cands if cands is None else cands)
     rows = rows.join(t.universe.select("s1_id", "fold"), "s1_id").join(t.truth.select("s1_id", "cand_id", F.lit(1).alias("y")), ["s1_id", "cand_id"], "left")
     return rows.withColumn("y", F.coalesce("y", F.lit(0))), names
 
@@ -270,9 +272,12 @@ def train_gbdt(t):
 
 @query()
 def predict_submit(t):
-    rows, names = _model_inputs(t)
+    """Lists of every source-1 record of split test; candidates of both splits are made by the same passes, so a score means the same in both."""
+    test = Tables(t.spark, t.sf_dir, "test")
+    rows, names = _model_inputs(t, cut(bl.generate(t.records), "submit_train"))
     _, model = ln.train_boosted(rows, names, [0], rounds=5, depth=4)
-    return sl.id_lists(sl.select_threshold(ln.predict(model, rows, names), 0.5), t.universe)
+    unseen, _ = ln.prune_inputs(bl.generate(test.records))
+    return sl.id_lists(sl.select_threshold(ln.predict(model, unseen, names), 0.5), test.first)
 
 
 # profiles

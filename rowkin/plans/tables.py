@@ -28,6 +28,11 @@ class Tables:
     def universe(self) -> DataFrame:
         return latest(self.raw("folds"), ["s1_id"])
 
+    @cached_property
+    def first(self) -> DataFrame:
+        """Every record of source 1 in the split, also where no folds or labels are given."""
+        return self.records.filter("source = 1").select(F.col("entity_id").alias("s1_id"))
+
     @cached_property
     def truth(self) -> DataFrame:
         return self.raw("labels").select("s1_id", "cand_id").distinct()
