@@ -15,14 +15,14 @@ from rowkin.llm.plain_text import fold
 
 # Street kinds and their abbreviations; written as kind: forms.
 STREET_KINDS = """
-street: st str street strt; road: rd road; avenue: ave av avenue avn aven avda avenida avd; boulevard: blvd boulevard bd boul bvd; lane: ln lane; drive: drive drv; court: ct court crt; cross: crs cross; nagar: ngr nagar; marg: mg marg; colony: col cly colony clny;
-place: pl place platz plz pza plaza; chemin: ch che chem chemin; impasse: imp impasse; rue: r rue; weg: weg; allee: allee all; strasse: strasse strs; calle: calle cl c; paseo: paseo p po pso; terrace: ter terrace; circle: cir circle; highway: hwy highway; parkway: pkwy parkway; square: sq square; quai: quai; route: rte route; cours: cours; gasse: gasse; ring: ring; damm: damm; camino: camino cno; ronda: ronda; travesia: travesia
+street: st str street strt strasse strs; road: rd road; avenue: ave av avenue avn aven avda avenida avd; boulevard: blvd boulevard bd boul bvd; lane: ln lane; drive: drive drv; court: ct court crt; cross: crs cross; nagar: ngr nagar; marg: mg marg; colony: col cly colony clny;
+place: pl place platz plz pza plaza; chemin: ch che chem chemin; impasse: imp impasse; rue: r rue; weg: weg; allee: allee all; calle: calle cl c; paseo: paseo p po pso; terrace: ter terrace; circle: cir circle; highway: hwy highway; parkway: pkwy parkway; square: sq square; quai: quai; route: rte route; cours: cours; gasse: gasse; ring: ring; damm: damm; camino: camino cno; ronda: ronda; travesia: travesia
 """
 # Words in front of a street's own name.
 STREET_PREFIXES = """
-north: n north; south: s south; east: e east; west: w west; old: old; new: new; lake: lake; mill: mill; market: mkt market; mount: mt mount; fort: ft fort; general: gen gral general; captain: cap capt captain capitan capitaine cne cpt; doctor: doctor docteur doktor;
+north: n north; south: south; east: e east; west: w west; old: old; new: new; lake: lake; mill: mill; market: mkt market; mount: mt mount; fort: ft fort; general: gen gral general; captain: cap capt captain capitan capitaine cne cpt; doctor: doctor docteur doktor;
 station: stn station; temple: temple; upper: upr upper; lower: lwr lower; inner: inner; outer: outer; grand: gd grand grande; petit: pt petit petite; vieux: vx vieux vieille; haut: ht haut haute; moulin: moulin molino; pont: pont; saint: saint sainte ste sankt skt san santa sta sto;
-vordere: vordere vord; hintere: hintere; kurze: kurze; lange: lange; alte: alte; neue: neue; grosse: grosse gr; kleine: kleine; vieja: vieja viejo; alta: alta alto; nueva: nueva nuevo; mayor: mayor
+vordere: vordere vord; hintere: hintere; kurze: kurze; lange: lange; obere: ob obere oberer; untere: unt untere unterer; puente: pte puente; alte: alte; neue: neue; grosse: grosse gr; kleine: kl kleine kleiner; vieja: vieja viejo; alta: alta alto; nueva: nueva nuevo; mayor: mayor
 """
 # Words that announce a unit inside a building, a house number, a landmark, and names of countries.
 UNIT_WORDS = frozenset("unit ste suite shop flat apt apartment room floor fl batiment bat haus local piso etage bloc block porte puerta bureau office oficina wohnung whg dept".split())
@@ -42,7 +42,9 @@ KINDS, PREFIXES = _table(STREET_KINDS), _table(STREET_PREFIXES)
 _NUMBER = re.compile(r"^([0-9]{1,4})([a-z]?)$")
 _UNIT = re.compile(r"[0-9]{1,4}[a-z]?|[a-z]")
 _ADDED = re.compile(r"^([0-9]{1,4})(bis|ter|quater)$")
-_STREET_END = re.compile(r"(?<=.{4})stras+e$")
+_STREET_END = re.compile(r"(?<=.{4})str(?:as+e)?$")
+# Texts that stand for no address.
+PLACEHOLDERS = frozenset(("null", "na", "none", "nan", "nil", "unknown"))
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _PLAIN_WORD = re.compile(r"[a-z0-9]+")
 _LANDMARK_NOISE = frozenset(("to", "the", "of"))
@@ -91,7 +93,7 @@ def _words(text: str) -> list[str]:
 
 
 def parse_address(norm: str, city: str, state: str, postcode: str, unit: str, landmark: str) -> tuple[str, str, str, str, str, str, str]:
-    """(anchor, prefix, core, kind, town, post, state) of a normalised address.
+    """(anchor, prefix, core, kind, town, post, state) of an address.
 
     ``anchor`` is the house number with its letter or addition, else the landmark with its relation in front of it, else "" for an address
     that names no building. ``core`` is the street's own name written as one word.
@@ -166,7 +168,7 @@ def parse_address(norm: str, city: str, state: str, postcode: str, unit: str, la
         i += 1
     if kept and kept[-1] in COUNTRY_WORDS:
         kept.pop()
-    own = [k for k, t in enumerate(kept) if t not in KINDS and t not in PREFIXES and t not in NUMBER_WORDS and t not in ("dr", "du", "de", "des", "la", "le", "del", "der", "die", "am", "an", "and")]
+    own = [k for k, t in enumerate(kept) if t not in KINDS and t not in PREFIXES and t not in NUMBER_WORDS and t not in ("s", "dr", "du", "de", "des", "la", "le", "del", "der", "die", "am", "an", "and")]
     prefix: set[str] = set()
     kind = ""
     if own:
@@ -174,6 +176,8 @@ def parse_address(norm: str, city: str, state: str, postcode: str, unit: str, la
         for k, t in enumerate(kept):
             if k < first and t == "st":
                 prefix.add("saint")
+            elif t == "s" and k < last:
+                prefix.add("s")  # south or saint
             elif t == "dr":
                 if k < first:
                     prefix.add("doctor")
@@ -183,12 +187,20 @@ def parse_address(norm: str, city: str, state: str, postcode: str, unit: str, la
                 prefix.add(PREFIXES[t])
             elif t in KINDS:
                 kind = kind or KINDS[t]
-    core = _STREET_END.sub("", "".join(kept[k] for k in own))
+    core = "".join(kept[k] for k in own)
+    bare = _STREET_END.sub("", core)
+    if bare != core:
+        core, kind = bare, kind or "street"
     anchor = number + addition if number else mark
     return anchor, " ".join(sorted(prefix)), core, kind, town, post, state_words.replace(" ", "")
 
 
-def parse_columns(norm: pd.Series, city: pd.Series, state: pd.Series, postcode: pd.Series, unit: pd.Series, landmark: pd.Series) -> pd.DataFrame:
-    """``parse_address`` over columns; nulls are empty."""
-    rows = [parse_address(*(x or "" for x in r)) for r in zip(norm, city, state, postcode, unit, landmark, strict=True)]
+def parse_columns(address: pd.Series, norm: pd.Series, city: pd.Series, state: pd.Series, postcode: pd.Series, unit: pd.Series, landmark: pd.Series) -> pd.DataFrame:
+    """``parse_address`` over columns; the address as written counts, its normalised form where that is null or empty. Nulls and placeholders are empty."""
+    rows = []
+    for raw, plain, *parts in zip(address, norm, city, state, postcode, unit, landmark, strict=True):
+        text = raw or plain or ""
+        if len(text) < 12 and "".join(c for c in text.lower() if c.isalnum()) in PLACEHOLDERS:
+            text = ""
+        rows.append(parse_address(text, *(x or "" for x in parts)))
     return pd.DataFrame(rows, columns=["anchor", "prefix", "core", "kind", "town", "post", "state"])

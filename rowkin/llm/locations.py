@@ -1,9 +1,11 @@
 """Address records that denote the same location.
 
-House numbers (with letter or addition) or landmarks and the street's own name are read from each address. A deletion-neighbourhood index
-over the street names, inside blocks of one number, joins spellings that are one typing error apart; the records of one number and
-street are then laid out by place: towns spelt alike or sharing a postcode form components, and addresses without a town are assigned
-to the component with the least postcode cost, if one is best. A different number, addition, landmark or leading word of the street is a veto.
+House numbers (with letter or addition) or landmarks, the street's own name and kind and the place are read from each address. Blocks are
+the postcode and the neighbouring localities, that is towns whose names begin or end with the same sounds; inside a block a
+deletion-neighbourhood index over the street names of one number proposes pairs of addresses. Each pair is decided by assigning the
+components of one address to those of the other at the least total cost, with hard vetoes on number, addition and landmark, on
+contradicting words in front of the street's name, on contradicting kinds of street and on contradicting states. Addresses linked form
+buildings. An address without a town is then assigned to the building that costs least, if one does.
 """
 
 from __future__ import annotations
@@ -11,14 +13,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from rowkin.llm.addresses import heard, parse_columns, squeeze
 from rowkin.llm.clusters import components, group_stream
-from rowkin.llm.plain_text import fold
 from rowkin.llm.scripts import romanise
 from rowkin.session import cut
 
@@ -69,15 +71,6 @@ def same_town(a: str, b: str) -> bool:
     return edits(a, b, most) <= most or edits(heard(a), heard(b), most) <= most
 
 
-@lru_cache(maxsize=1 << 15)
-def town_keys(town: str) -> frozenset[str]:
-    """The town as heard with up to two letters left out (one for short names)."""
-    word = heard(town)
-    once = {word[:i] + word[i + 1 :] for i in range(len(word))}
-    twice = {w[:i] + w[i + 1 :] for w in once for i in range(len(w))} if len(word) >= 6 else set()
-    return frozenset({word} | once | twice)
-
-
 @lru_cache(maxsize=1 << 12)
 def same_state(a: str, b: str) -> bool:
     """Whether two states may be one: equal, one the short form of the other, or one unknown."""
@@ -106,115 +99,243 @@ def post_cost(a: str, b: str) -> int:
     return 2 if a[:-2] == b[:-2] else 4
 
 
-def lay_out(rows: list[dict]) -> list[tuple[int, int]]:
-    """(form, building) for the address forms of one number and street.
+#: Greatest total cost of an assignment of components.
+MOST = 5.0
+#: Sounds of a town's name that make a locality block.
+TOWN_SOUNDS = 2
+
+
+def _word_cost(a: str, b: str) -> float:
+    """Cost of assigning one word to another: 0 equal, half heard alike, 1 for each typing error up to two in long words, else too much."""
+    if a == b:
+        return 0.0
+    x, y = heard(romanise(a)), heard(romanise(b))
+    if x == y:
+        return 0.5
+    e = min(edits(a, b, 2), edits(x, y, 2))
+    return float(e) if e <= 1 and min(len(a), len(b)) >= 3 or e <= 2 and min(len(a), len(b)) >= 7 else 99.0
+
 
-    Towns link by spelling or by a common postcode; then each form without a town goes to the component of least postcode cost if that is
-    at most 2 and no other component costs as little, else forms without a town link among themselves by equal postcode.
+def assignment_cost(a: list[str], b: list[str], left_out: float) -> float:
+    """Least total cost of assigning the words of ``a`` to those of ``b``, each at most once; a word without a partner costs ``left_out``.
+
+    Equal words go together; the others, few, are assigned by dynamic programming over subsets.
     """
-    n = len(rows)
-    root = list(range(n))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    towns: dict[tuple[str, str], int] = {}
-    for i, r in enumerate(rows):
-        if r["town"]:
-            j = towns.setdefault((r["town"], r["prefix"]), i)
-            root[find(i)] = find(j)
-
-    def no_veto(p: str, q: str) -> bool:
-        return not p or not q or bool(set(p.split()) & set(q.split()))
-
-    # towns alike share a spelling with up to two letters left out
-    short: dict[str, tuple[str, str, int]] = {}
-    for (town, prefix), i in towns.items():
-        for key in town_keys(town):
-            t, p, j = short.setdefault(key, (town, prefix, i))
-            if find(i) != find(j) and same_town(t, town) and no_veto(p, prefix):
-                root[find(i)] = find(j)
-    by_post: dict[str, int] = {}
-    for i, r in enumerate(rows):
-        if r["post"] and r["town"]:
-            j = by_post.setdefault(r["post"].lstrip("0"), i)
-            if find(i) != find(j) and no_veto(r["prefix"], rows[j]["prefix"]) and same_state(r["state"], rows[j]["state"]):
-                root[find(i)] = find(j)
-    members: dict[int, list[int]] = {}
-    for i, r in enumerate(rows):
-        if r["town"]:
-            members.setdefault(find(i), []).append(i)
-    profile = {c: ({rows[i]["post"] for i in m if rows[i]["post"]}, {rows[i]["state"] for i in m if rows[i]["state"]}, {rows[i]["prefix"] for i in m if rows[i]["prefix"]}) for c, m in members.items()}
-    homeless: dict[str, int] = {}
-    for i, r in enumerate(rows):
-        if r["town"]:
-            continue
-        costs = []
-        for c, (posts, states, prefixes) in profile.items():
-            if states and not any(same_state(r["state"], s) for s in states) or r["prefix"] and prefixes and not any(no_veto(r["prefix"], p) for p in prefixes):
-                continue
-            costs.append((min((post_cost(r["post"], p) for p in posts), default=2), c))
-        costs.sort()
-        if costs and costs[0][0] <= 2 and (len(costs) == 1 or costs[1][0] > costs[0][0]):
-            root[find(i)] = find(costs[0][1])
-        elif not costs or costs[0][0] > 2 or len(costs) > 1:
-            key = r["post"].lstrip("0") or "?" + r["state"]
-            if not r["post"] and costs:
-                continue  # of several places, none is better: the address stays alone
-            j = homeless.setdefault(key, i)
-            root[find(i)] = find(j)
-    return [(r["form"], rows[find(i)]["form"]) for i, r in enumerate(rows)]
+    rest = list(b)
+    mine = []
+    for w in a:
+        if w in rest:
+            rest.remove(w)
+        else:
+            mine.append(w)
+    if not mine or not rest:
+        return left_out * (len(mine) + len(rest))
+    if len(mine) > 8 or len(rest) > 8:
+        mine, rest = ["".join(mine)], ["".join(rest)]
+    best = {0: 0.0}
+    for w in mine:
+        after: dict[int, float] = {}
+        for used, cost in best.items():
+            after[used] = min(after.get(used, 999.0), cost + left_out)
+            for k, other in enumerate(rest):
+                if not used >> k & 1:
+                    c = cost + _word_cost(w, other)
+                    if c < after.get(used | 1 << k, 999.0):
+                        after[used | 1 << k] = c
+        best = after
+    return min(cost + left_out * (len(rest) - used.bit_count()) for used, cost in best.items())
+
+
+@lru_cache(maxsize=1 << 16)
+def street_cost(a: str, b: str) -> float:
+    """Cost of assigning one street's words to another's, the words as they stand or written together."""
+    return min(_word_cost(a.replace(" ", ""), b.replace(" ", "")), assignment_cost(a.split(" "), b.split(" "), 99.0))
+
+
+@lru_cache(maxsize=1 << 16)
+def town_cost(a: str, b: str) -> float:
+    """0 for the same town, 1 for spellings of one, 4 for different towns, 2 where one is unknown."""
+    if not a or not b:
+        return 2.0
+    return 0.0 if a == b else 1.0 if same_town(a, b) else 4.0
+
+
+@lru_cache(maxsize=1 << 14)
+def prefixes_differ(a: str, b: str) -> bool:
+    """Whether the words in front of two streets' names contradict each other; a mere s is south or saint."""
+    if not a or not b or a == b:
+        return False
+    p, q = ({x for w in words.split() for x in (("s", "south", "saint") if w == "s" else (w,))} for words in (a, b))
+    return p.isdisjoint(q)
+
+
+def address_cost(a: tuple, b: tuple) -> float:
+    """Total cost of assigning the components of one address to those of another with the same number or landmark; more than MOST for a veto."""
+    if prefixes_differ(a[0], b[0]) or a[2] and b[2] and a[2] != b[2]:
+        return 99.0
+    town = town_cost(a[3], b[3])
+    cost = street_cost(a[1], b[1]) + town
+    if cost > MOST or town > 1 and not same_state(a[5], b[5]):
+        return 99.0
+    post = post_cost(a[4], b[4])
+    if a[3] and b[3]:
+        # towns that agree need no postcode; different ones need the very same
+        return cost + (0 if cost < 4 else post and 99)
+    return cost + (post if post < 4 else 99)
 
 
 def parsed(records: DataFrame) -> DataFrame:
     """``entity_id, source`` and the address parts, one row per record (the delivery loaded last)."""
-    cols = ["addr_norm", "city", "state", "postcode", "unit", "landmark"]
-    newest = records.groupBy("entity_id").agg(F.max(F.struct("loaded_at", "source", "business_address", *cols)).alias("v"))
+    cols = ["business_address", "addr_norm", "city", "state", "postcode", "unit", "landmark"]
+    newest = records.groupBy("entity_id").agg(F.max(F.struct("loaded_at", "source", *cols)).alias("v"))
     parse = pandas_udf(parse_columns, _PARTS)
     return newest.select("entity_id", F.col("v.source").alias("source"), parse(*[F.col(f"v.{c}") for c in cols]).alias("p")).select("entity_id", "source", "p.*")
 
 
+@lru_cache(maxsize=1 << 16)
+def street_keys(core: str) -> tuple[str, ...]:
+    """The street's words as one, as heard and with each letter left out."""
+    word = romanise(core.replace(" ", ""))
+    keys = {heard(word), squeeze(word)}
+    if len(word) >= 4:
+        keys.update(heard(word[:i] + word[i + 1 :]) for i in range(len(word)))
+    return tuple(sorted(keys))
+
+
+@lru_cache(maxsize=1 << 16)
+def town_blocks(town: str) -> tuple[str, ...]:
+    """Neighbouring localities: the sounds at the beginning and at the end of the town's name, and the set of its sounds."""
+    word = heard(romanise(town.replace(" ", "")))
+    sounds = "".join(c for i, c in enumerate(word) if i == 0 or c not in "aeiou")
+    return (f"B:{sounds[:TOWN_SOUNDS]}", f"E:{sounds[-TOWN_SOUNDS:]}", f"S:{''.join(sorted(set(sounds)))}")
+
+
+@lru_cache(maxsize=1 << 16)
+def post_blocks(post: str) -> tuple[str, ...]:
+    """For addresses without a town: the postcode with each digit left out or its neighbours swapped away, and its area."""
+    post = post.lstrip("0")
+    return ("A:" + post[:-2], *sorted({"D:" + post[:i] + post[i + 1 :] for i in range(len(post))})) if post else ()
+
+
+def _index_keys(core: pd.Series, town: pd.Series, post: pd.Series) -> pd.Series:
+    """Blocks times deletions of forms with a town."""
+    out = []
+    for c, t, p in zip(core, town, post, strict=True):
+        blocks = (*town_blocks(t), *(("P:" + p.lstrip("0"),) if p else ()))
+        out.append([b + "/" + k for b in blocks for k in street_keys(c)])
+    return pd.Series(out)
+
+
+def _area_keys(core: pd.Series, post: pd.Series) -> pd.Series:
+    """Postcode blocks times deletions; "?" of addresses without a postcode."""
+    return pd.Series([[b + "/" + k for b in (post_blocks(p) or ("?",)) for k in street_keys(c)] for c, p in zip(core, post, strict=True)])
+
+
+def _costs(*columns: pd.Series) -> pd.Series:
+    n = len(columns) // 2
+    return pd.Series([address_cost(r[:n], r[n:]) for r in zip(*columns, strict=True)], dtype="float64")
+
+
+def with_costs(pairs: DataFrame, forms: DataFrame) -> DataFrame:
+    """``(a, b, cost)`` of pairs of forms."""
+    parts = ["prefix", "core", "kind", "town", "post", "state"]
+    left, right = forms.select(F.col("form").alias("a"), *[F.col(c).alias(f"{c}_a") for c in parts]), forms.select(F.col("form").alias("b"), *[F.col(c).alias(f"{c}_b") for c in parts])
+    cost = pandas_udf(_costs, "double")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", cost(*[f"{c}_a" for c in parts], *[f"{c}_b" for c in parts]).alias("cost"))
+
+
+def block_links(spread: DataFrame, forms: DataFrame) -> DataFrame:
+    """``(a, b)``: accepted pairs of forms that share a key of ``spread`` (``form, n, key``).
+
+    In every key each form is compared with the key's most frequent form, each pair once for all keys. Those that fail are read as streams
+    from frequent to rare and compared with the forms that nothing before them took in. So a key of n forms of d addresses gives at most
+    n * d comparisons, and one pair per form, not n * n.
+    """
+    keys = spread.groupBy("key").agg(F.max(F.struct("n", "form")).alias("h"), F.min("form").alias("x"), F.max("form").alias("y"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    keys = cut(keys.select("key", F.col("h.form").alias("hub"), "x", "y", "size"), "hubs")
+    members = cut(spread.join(keys.filter("size > 2").select("key", "hub"), "key").filter("form <> hub").select("key", "hub", "form", "n"), "members")
+    two = keys.filter("size = 2").select(F.col("hub").alias("a"), F.when(F.col("x") == F.col("hub"), F.col("y")).otherwise(F.col("x")).alias("b"))
+    pairs = two.unionByName(members.select(F.col("hub").alias("a"), F.col("form").alias("b"))).distinct()
+    good = cut(with_costs(pairs, forms).filter(F.col("cost") <= MOST).select("a", "b"), "good")
+    failed = members.join(good.select(F.col("a").alias("hub"), F.col("b").alias("form")), ["hub", "form"], "left_anti")
+    several = failed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
+    parts = ["prefix", "core", "kind", "town", "post", "state"]
+    rest = failed.join(several, "key").join(forms.select("form", *parts), "form").select("key", "form", "n", *parts)
+
+    def lead(key: tuple, rows: Iterator[dict]) -> Iterator[tuple]:
+        leaders: list[tuple[int, tuple]] = []
+        for row in rows:
+            mine = tuple(row[c] for c in parts)
+            hit = next((form for form, other in leaders if address_cost(other, mine) <= MOST), None)
+            if hit is None:
+                leaders.append((row["form"], mine))
+            else:
+                yield hit, row["form"]
+
+    more = group_stream(rest, ["key"], [F.desc("n"), "form"], lead, pa.schema([("a", pa.int64()), ("b", pa.int64())]), "a long, b long")
+    return good.unionByName(more).distinct()
+
+
+def given_homes(loose: DataFrame, homes: DataFrame, forms: DataFrame) -> DataFrame:
+    """``(form, building)`` of the addresses without a town that one building suits at less cost than all others.
+
+    Blocks are the postcode's area and its spellings with a digit left out; buildings of which no postcode is known are in a block of their
+    own with all postcodes, and addresses without a postcode meet every building of their number and street. Buildings of one block that
+    are alike in all that is compared count as one offer that suits several, so such a block stays small.
+    """
+    area = pandas_udf(_area_keys, "array<string>")
+    near = homes.join(loose.select("anchor").distinct(), "anchor", "left_semi")
+    posted = near.groupBy("building").agg(F.max(F.col("post") != "").alias("posted"))
+    near = near.join(posted, "building")
+
+    def keyed(df: DataFrame, post: Column, kind: str, *keep: str) -> DataFrame:
+        return df.select("form", *keep, "anchor", F.explode(area("core", post)).alias("k")).select("form", *keep, F.xxhash64("anchor", F.lit(kind), "k").alias("key"))
+
+    none, post = F.lit(""), F.col("post")
+    wanted = keyed(loose.filter(post != ""), post, "post").unionByName(keyed(loose.filter(post != ""), none, "unposted")).unionByName(keyed(loose.filter(post == ""), none, "any"))
+    wanted = cut(wanted, "loose")
+    spread = keyed(near.filter(post != ""), post, "post", "building").unionByName(keyed(near.filter(~F.col("posted")), none, "unposted", "building")).unionByName(keyed(near, none, "any", "building"))
+    spread = spread.join(wanted.select("key").distinct(), "key", "left_semi").join(forms.select("form", "prefix", "core", "kind", "state", "post"), "form")
+    offers = spread.groupBy("key", "prefix", "core", "kind", "state", "post").agg(F.min("form").alias("b"), F.min("building").alias("first"), F.max("building").alias("last"))
+    met = cut(wanted.join(offers, "key").select(F.col("form").alias("a"), "b", "first", "last").distinct(), "met")
+    costs = with_costs(met.select("a", "b").distinct(), forms).filter(F.col("cost") <= MOST).join(met, ["a", "b"])
+    least = costs.groupBy("a").agg(F.min("cost").alias("cost"))
+    best = costs.join(least, ["a", "cost"]).groupBy("a").agg(F.min("first").alias("building"), F.max("last").alias("other"))
+    return best.filter(F.col("building") == F.col("other")).select(F.col("a").alias("form"), "building")
+
+
 def buildings(addresses: DataFrame) -> DataFrame:
     """``(entity_id, building)`` of every record of ``addresses`` (as ``parsed``) whose address names a building or landmark and a street."""
-    named = addresses.filter("anchor <> '' and core <> ''").withColumn("form", F.xxhash64("anchor", "prefix", "core", "town", "post", "state"))
-    forms = cut(named.select("form", "anchor", "prefix", "core", "town", "post", "state").distinct(), "forms")
-
-    def deletions(cores: "pd.Series") -> "pd.Series":  # noqa: F821
-        import pandas as pd
-
-        out = []
-        for core in cores:
-            keys = set()
-            for w in {heard(romanise(core)), squeeze(core)}:
-                keys.add(w)
-                if len(w) >= 4:
-                    keys.update(w[:i] + w[i + 1 :] for i in range(len(w)))
-            out.append(sorted(keys))
-        return pd.Series(out)
-
-    import pandas as pd
-
-    deletions.__annotations__ = {"cores": pd.Series, "return": pd.Series}
-    streets = cut(forms.select("anchor", "core").distinct().withColumn("street", F.xxhash64("anchor", "core")).withColumn("keys", pandas_udf(deletions, "array<string>")("core")), "streets")
-    # star per key: every spelling links to the least spelling of its key, so a group gives no pairs
-    spread = streets.select("street", "anchor", F.explode("keys").alias("k")).select("street", F.xxhash64("anchor", "k").alias("key"))
-    least = spread.groupBy("key").agg(F.min("street").alias("a"), F.max("street").alias("z"), F.count(F.lit(1)).alias("n")).filter("a <> z")
-    pairs = least.filter("n = 2").select("a", F.col("z").alias("b"))
-    many = spread.join(least.filter("n > 2").select("key", "a"), "key").select("a", F.col("street").alias("b"))
-    links = pairs.unionByName(many).filter("a <> b").distinct()
-    labels = components(links)
-    grouped = forms.withColumn("street", F.xxhash64("anchor", "core")).join(labels, F.col("street") == F.col("node"), "left").withColumn("g", F.coalesce("label", "street"))
-
-    def place(key: tuple, rows: Iterator[dict]) -> Iterator[tuple]:
-        yield from lay_out(list(rows))
-
-    laid = group_stream(grouped.select("g", "form", "prefix", "town", "post", "state"), ["g"], ["form"], place, pa.schema([("form", pa.int64()), ("building", pa.int64())]), "form long, building long")
+    parts = ["anchor", "prefix", "core", "kind", "town", "post", "state"]
+    named = addresses.filter("anchor <> '' and core <> ''").withColumn("form", F.xxhash64(*parts))
+    forms = cut(named.groupBy("form", *parts).agg(F.count(F.lit(1)).alias("n")), "forms")
+    placed, loose = forms.filter("town <> ''"), forms.filter("town = ''")
+    keys = pandas_udf(_index_keys, "array<string>")
+    spread = cut(placed.select("form", "n", "anchor", F.explode(keys("core", "town", "post")).alias("k")).select("form", "n", F.xxhash64("anchor", "k").alias("key")), "spread")
+    labels = components(block_links(spread, forms))
+    homes = cut(placed.join(labels, F.col("form") == F.col("node"), "left").select("form", "anchor", "core", "post", F.coalesce("label", "form").alias("building")), "homes")
+
+    given = given_homes(loose, homes, forms)
+    # the others stay together where their postcode is the same
+    left = loose.join(given, "form", "left_anti").filter("post <> ''")
+    area = pandas_udf(_area_keys, "array<string>")
+    among = block_links(cut(left.select("form", "n", "anchor", "post", F.explode(area("core", F.lit(""))).alias("k")).select("form", "n", F.xxhash64("anchor", "post", "k").alias("key")), "spread"), forms)
+    names = components(among)
+    rest = loose.join(given, "form", "left_anti").join(names, F.col("form") == F.col("node"), "left").select("form", F.coalesce("label", "form").alias("building"))
+    laid = homes.select("form", "building").unionByName(given).unionByName(rest)
     return named.select("entity_id", "form").join(laid, "form").select("entity_id", "building")
 
 
+def location_groups(records: DataFrame) -> DataFrame:
+    """``(entity_id, building, n_links)``: the building of each record whose address names one, and how many other records it links to.
+
+    The form of the result for buildings of many records, whose pairs are too many to list.
+    """
+    homes = cut(buildings(cut(parsed(records), "addresses")), "homes")
+    sizes = homes.groupBy("building").agg(F.count(F.lit(1)).alias("n"), F.min("entity_id").alias("representative"))
+    return homes.join(sizes, "building").select("entity_id", "representative", (F.col("n") - 1).alias("n_links"))
+
+
 def same_location(records: DataFrame) -> DataFrame:
     """``(id_a, id_b)``: pairs of different records whose addresses name the same building, the smaller id first, each once.
 

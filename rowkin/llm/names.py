@@ -1,8 +1,13 @@
-"""Names of organisations and people: their parts, phonetic codes and comparison."""
+"""Names of organisations and people: their parts, phonetic codes and comparison.
+
+Which words of a name say what is done and not who does it (foods, roofing) is learned from the names themselves: a word held by a
+set share of all distinct names and met beside many different words is generic. Short forms of generic words are recognised by rule.
+"""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -13,24 +18,15 @@ from rowkin.llm.locations import edits
 from rowkin.llm.plain_text import fold
 from rowkin.llm.scripts import romanise
 
-# First names and their short forms.
+# Usual first names and their short forms, in English, Spanish, French, German and Indian use.
 NICKNAMES = """
-alejandro: ale alex jandro; antoine: toine tony anthony; edward: ed eddie ned eduard; elizabeth: liz beth betty eliza lizzie; francisco: fco paco pancho fran; frederic: fred freddy freddie frederick; james: jim jimmy jamie;
-joseph: jos joe joey jo; katherine: kate cathy kathy katie catherine; krishnan: kris krish krishna; lakshmi: laxmi lakshmy lakshmee; margaret: peggy maggie meg marge; muhammad: md mohd mohammed mohammad muhamad; patricia: pat trish patty tricia;
-richard: rick richie rich dick ricky; robert: rob bob bobby robbie; susan: sue suzie susie suzy; theodore: theo ted teddy; venkatesh: venkat venky; william: will bill billy willie
-"""
-# Trades and their usual short forms.
-TRADES = """
-foods: fds food; manufacturing: mfg manuf mfrg; enterprises: entp ent entps enterprise; medicals: med medical meds; roofing: roofg rfg; menuiserie: menuis men; engineering: engg eng engrg; works: wks wrks work; vision: vsn vis; center: ctr cntr centre; auto; repair: rpr rep;
-industries: inds ind industry; constructions: const constr construction; traders: trdrs trd trader; logistics: logist log lgstcs; dental: dntl dent; care; tailors: tlrs tailor; agencies: agcy agcs agency; storage: stg stor; motors: mtrs mtr motor; infotech: info tech; textiles: txtls tex textile;
-electricals: elec elect electrical; jewellers: jwlrs jwl jeweller; landscaping: lndscpg lndscp landsc; associates: assoc assocs assc; hardware: hdwe hdw hrdw; bakery: bkry bak; travels: trvls trvl travel; furniture: furn furnit; international: intl int; sweets: swts swt; consulting: cnsltg cons consult; pediatrics: peds ped;
-plumbing: plbg plmb; realty: rlty rlt; electric: elec elect; apotheke: apoth apo; garage: gar; pharmacie: pharm pharma; boulangerie: boul boulang; metallbau: metallb metall; coiffure: coif coiff; spedition: sped spedit; backerei: back baeckerei; hotellerie: hotel hotell; fleuriste: fleur fleurist; tischlerei: tischl tisch;
-librairie: libr libra; gartnerei: gartn gaertnerei gart; maconnerie: maconn macon; talleres: tall taller; ferreteria: ferret ferr; farmacia: fcia farm farmac; construcciones: constr const construcc; epicerie: epic epicer; panaderia: panad pan; peluqueria: peluq pelu; electronics: elecs; holdings: hldgs
-"""
-# The same trades in Devanagari.
-TRADES_DEVANAGARI = """
-foods: फूड्स; medicals: मेडिकल्स; traders: ट्रेडर्स; motors: मोटर्स; sweets: स्वीट्स; constructions: कंस्ट्रक्शन्स; infotech: इन्फोटेक; agencies: एजेंसीज; tailors: टेलर्स; jewellers: ज्वैलर्स; engineering: इंजीनियरिंग; works: वर्क्स; enterprises: एंटरप्राइजेज; textiles: टेक्सटाइल्स टेक्स्टाइल्स;
-electricals: इलेक्ट्रिकल्स; travels: ट्रैवल्स ट्रेवल्स; industries: इंडस्ट्रीज; foods: फ़ूड्स
+abigail: abby; albert: al bert bertie; alejandro: ale alex jandro alexander; alfred: alf fred; andrew: andy drew; anthony: tony antoine toine antonio; barbara: barb babs; benjamin: ben benny; bernard: bernie; catherine: kate cathy kathy katie katherine cat kitty;
+charles: charlie chuck chas carlos; christina: chris tina christine; christopher: kit topher; daniel: dan danny; david: dave davey; deborah: deb debbie; donald: don donnie; dorothy: dot dottie; edward: ed eddie ned eduard eduardo; eleanor: ellie nell nora;
+elizabeth: liz beth betty eliza lizzie lisa; emanuel: manny manuel manolo; eugene: gene; florence: flo; francis: frank frankie; francisco: fco paco pancho fran; frederick: fred freddy freddie frederic; gabriel: gabe; gerald: gerry; gregory: greg; guadalupe: lupe; harold: hal harry; heinrich: heinz; helen: nelly;
+henry: hank; isabella: bella isabel; jacob: jake; james: jim jimmy jamie; jean: jeannot; jennifer: jen jenny; jessica: jess jessie; jesus: chus; john: jack johnny jon; jonathan: jonny; joseph: jos joe joey jo jose josef sepp; joshua: josh; judith: judy; katharina: kathi; kenneth: ken kenny;
+krishnan: kris krish krishna; lakshmi: laxmi lakshmy lakshmee; lawrence: larry; leonard: len lenny leo; louis: lou luis; manfred: manni; margaret: peggy maggie meg marge; maria: mari; martin: marty; matthew: matt; maximilian: max; michael: mike mick mickey miguel; muhammad: md mohd mohammed mohammad muhamad mohamed;
+nathaniel: nat nate nathan; nicholas: nick nicky nicolas; pamela: pam; patricia: pat trish patty tricia; patrick: paddy; peter: pete pedro; philip: phil; rajesh: raj raju; ramachandran: ram; raymond: ray; rebecca: becky; richard: rick richie rich dick ricky ricardo; robert: rob bob bobby robbie roberto; ronald: ron ronnie; rosario: charo;
+samuel: sam sammy; sebastian: seb basti; sophia: sophie; srinivasan: srini; stephen: steve steven; subramanian: subbu mani; susan: sue suzie susie suzy susanna; theodore: theo ted teddy; thomas: tom tommy tomas; timothy: tim; venkatesh: venkat venky; victoria: vicky; vincent: vince; vijayalakshmi: viji; walter: walt; wilhelm: willi; william: will bill billy willie guillermo; zachary: zach
 """
 # Legal forms and words in front of or behind a name that do not belong to it.
 LEGAL = frozenset("llc ltd limited inc incorporated corp corporation co company pvt private llp lp plc sarl sas sasu eurl gmbh ag kg ug ohg sa sl slu sc srl p pra li".split())
@@ -48,28 +44,20 @@ def _short_forms(text: str) -> dict[str, str]:
         name, _, forms = part.partition(":")
         for form in (name.strip(), *forms.split()):
             if form:
-                out.setdefault(form, name.strip())
+                out[form] = f"{out[form]}|{name.strip()}" if form in out else name.strip()
     return out
 
 
+#: Names by their forms; a form of several names stands for any of them, joined by "|".
 GIVEN = _short_forms(NICKNAMES)
-TRADE = _short_forms(TRADES)
-TRADE_WORDS = sorted({v for v in TRADE.values()})
-for _form, _name in _short_forms(TRADES_DEVANAGARI).items():
-    if not _form.isascii():
-        TRADE[fold(_form)] = _name
-        TRADE[romanise(fold(_form))] = _name
-#: Trades by their spellings with a letter left out.
-_TRADES_SHORT: dict[str, set[str]] = {}
-for _t in TRADE_WORDS:
-    for _key in {_t, *(_t[:_i] + _t[_i + 1 :] for _i in range(len(_t)))}:
-        _TRADES_SHORT.setdefault(_key, set()).add(_t)
-_ENDS = sorted((w for w in TRADE if w.isascii() and len(w) >= 3), key=lambda w: (-len(w), w))
-_STARTS = sorted((w for w in (*TRADE, *GIVEN) if w.isascii() and len(w) >= 4), key=lambda w: (-len(w), w))
+_INITIALS: dict[str, set[str]] = {}
+for _form, _names in GIVEN.items():
+    for _name in _names.split("|"):
+        _INITIALS.setdefault(_name, set()).add(_form[0])
 
 
 class Name(NamedTuple):
-    """Parts of a name; ``words`` are what is the name's own, in their order, as heard."""
+    """Parts of a name; ``words`` are what is the name's own, in their order, as heard; ``trades`` the generic words its other words may stand for."""
 
     given: str
     words: tuple[str, ...]
@@ -77,98 +65,210 @@ class Name(NamedTuple):
     foreign: bool
 
 
-@lru_cache(maxsize=1 << 16)
-def trade_of(word: str) -> str:
-    """The trade a word stands for, also in short form or with one typing error, else ""."""
-    if word in TRADE:
-        return TRADE[word]
-    if len(word) >= 6:
-        near = set(_TRADES_SHORT.get(word, ()))
-        for i in range(len(word)):
-            near |= _TRADES_SHORT.get(word[:i] + word[i + 1 :], set())
-        for t in sorted(near):
-            if edits(t, word, 1) <= 1:
-                return t
-    return ""
-
-
-def _unglue(word: str) -> tuple[list[str], str, str]:
-    """(trades, given name, rest) of words written as one: known words are taken off its ends."""
-    trades: list[str] = []
-    given = ""
-    again = True
-    while again and len(word) >= 9:
-        again = False
-        for end in _ENDS:
-            if word.endswith(end) and len(word) - len(end) >= 6 and (len(end) >= 4 or not trades):
-                trades.append(TRADE[end])
-                word = word[: -len(end)]
-                again = True
-                break
-        if again:
-            continue
-        for start in _STARTS:
-            if word.startswith(start) and len(word) - len(start) >= 6:
-                if start in TRADE:
-                    if len(start) < 5:
-                        continue
-                    trades.append(TRADE[start])
-                elif given:
-                    continue
-                else:
-                    given = GIVEN[start]
-                word = word[len(start) :]
-                again = True
-                break
-    return trades, given, word
-
-
-@lru_cache(maxsize=1 << 16)
-def parse_name(name: str) -> Name:
-    """The parts of a name in any script."""
+def name_tokens(name: str) -> list[str]:
+    """The folded words of a name in any script, without legal forms and words around a name (all words, if nothing else is left)."""
     text = fold(name)
     if "holding" in text:
         text = _BEHIND.sub(" ", text)
     if "." in text or "/" in text:
         text = _DOTTED.sub(lambda m: m.group().replace(".", ""), text)
         text = _AROUND.sub(" ", text)
-    given = initial = ""
-    words: list[str] = []
-    trades: set[str] = set()
-    foreign = False
     tokens = (_PLAIN_WORDS if text.isascii() else _WORDS).findall(text)
-    kept = [t for t in tokens if t not in LEGAL and t not in NOISE]
-    for t in kept or tokens:
-        if t in TRADE:
-            trades.add(TRADE[t])
-            continue
-        latin = t
-        if not t.isascii():
-            latin = romanise(t)
-            foreign = foreign or latin != t
-            if not latin.isascii():
-                continue  # a word of another script beside the name
-        if (trade := trade_of(latin)):
-            trades.add(trade)
-            continue
-        if latin in GIVEN and not given:
-            given = GIVEN[latin]
-            continue
-        if len(latin) == 1:
-            initial = initial or latin
-            continue
-        if len(latin) >= 12 and len(kept) <= 3:
-            more, first, latin = _unglue(latin)
-            trades.update(more)
-            given = given or first
-        words.append(heard(squeeze(latin)))
-    if not words and given:
-        words, given = [given], ""
-    return Name(given or initial, tuple(words), frozenset(trades), foreign)
+    return [t for t in tokens if t not in LEGAL and t not in NOISE] or tokens
+
+
+class NameReader:
+    """Reads names with a set of generic words and of frequent words, of which those that shorten a generic word are its short forms."""
+
+    def __init__(self, generic: Iterable[str], frequent: Iterable[str] = ()):
+        self.generic = frozenset(w for w in generic if w not in GIVEN and w.isascii())
+        words = sorted(self.generic)
+        #: generic words by their first letter, by their code, and by their spellings with a letter left out
+        self.by_first: dict[str, list[str]] = {}
+        self.by_code: dict[str, set[str]] = {}
+        self.short: dict[str, set[str]] = {}
+        for w in words:
+            self.by_first.setdefault(w[0], []).append(w)
+            c = _plain_code(w)
+            for key in {c, *(c[:i] + c[i + 1 :] for i in range(len(c)) if len(c) >= 6)}:
+                self.by_code.setdefault(key, set()).add(w)
+            for key in {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}:
+                self.short.setdefault(key, set()).add(w)
+        self.forms: dict[str, frozenset[str]] = {}
+        for w in frequent:
+            if w not in self.generic and w not in GIVEN and w.isascii() and (found := frozenset(g for g in self.by_first.get(w[0], ()) if len(w) < len(g) and _shortens(w, g))):
+                self.forms[w] = found
+        self.ends = sorted((w for w in (*words, *self.forms) if len(w) >= 3), key=lambda w: (-len(w), w))
+        self.starts = sorted((w for w in (*words, *GIVEN) if w.isascii() and len(w) >= 4), key=lambda w: (-len(w), w))
+        self._trades: dict[str, frozenset[str]] = {}
+        self._names: dict[str, Name] = {}
+
+    def trades_of(self, word: str) -> frozenset[str]:
+        """The generic words a word may stand for: itself, one typing error away, the same stem with another ending, or a short form of it."""
+        known = self._trades.get(word)
+        if known is None:
+            known = self._trades[word] = self._find(word)
+            if len(self._trades) > 1 << 16:
+                self._trades = {}
+        return known
+
+    def _find(self, word: str) -> frozenset[str]:
+        if word in self.generic:
+            # frequent short forms are generic themselves; the same word with other endings counts as the same trade
+            return frozenset({word} | {w for w in self.by_first[word[0]] if w != word and (_one_stem(w, word) or len(word) < len(w) and _shortens(word, w))})
+        if word in self.forms:
+            return self.forms[word]
+        if len(word) < 5 or not word.isascii():
+            return frozenset()
+        out: set[str] = set()
+        if len(word) >= 6:
+            near = set(self.short.get(word, ()))
+            for i in range(len(word)):
+                near |= self.short.get(word[:i] + word[i + 1 :], set())
+            out |= {t for t in near if edits(t, word, 1) <= 1}
+        for w in self.by_first.get(word[0], ()):
+            if _one_stem(w, word):
+                out.add(w)
+        return frozenset(out)
+
+    def by_sound(self, latin: str) -> frozenset[str]:
+        """The generic words that a word written in another script may stand for: those with its code, or of long codes one sound away."""
+        c = _plain_code(latin)
+        out = set(self.by_code.get(c, ()))
+        if len(c) >= 6:
+            for i in range(len(c)):
+                out |= self.by_code.get(c[:i] + c[i + 1 :], set())
+        return frozenset(w for w in out if len(w) >= 4 and edits(_plain_code(w), c, 1) <= 1)
+
+    def _unglue(self, word: str) -> tuple[set[str], str, str]:
+        """(trades, given name, rest) of words written as one: known words are taken off its ends."""
+        trades: set[str] = set()
+        given = ""
+        again = True
+        while again and len(word) >= 9:
+            again = False
+            for end in self.ends:
+                if word.endswith(end) and len(word) - len(end) >= 6 and (len(end) >= 4 or not trades):
+                    trades |= self.trades_of(end)
+                    word = word[: -len(end)]
+                    again = True
+                    break
+            if again:
+                continue
+            for start in self.starts:
+                if word.startswith(start) and len(word) - len(start) >= 6:
+                    if start in self.generic:
+                        if len(start) < 5:
+                            continue
+                        trades |= self.trades_of(start)
+                    elif given:
+                        continue
+                    else:
+                        given = GIVEN[start]
+                    word = word[len(start) :]
+                    again = True
+                    break
+        return trades, given, word
+
+    def read(self, name: str) -> Name:
+        """The parts of a name in any script."""
+        known = self._names.get(name)
+        if known is None:
+            if len(self._names) > 1 << 16:
+                self._names = {}
+            known = self._names[name] = self.read_tokens(name_tokens(name))
+        return known
+
+    def read_tokens(self, tokens: list[str]) -> Name:
+        """The parts of a name given as ``name_tokens``. A name of generic words alone keeps them as its own words."""
+        given = initial = ""
+        words: list[str] = []
+        kept: list[str] = []
+        strange: list[str] = []
+        trades: set[str] = set()
+        foreign = False
+        skip = False
+        for k, t in enumerate(tokens):
+            if skip:
+                skip = False
+                continue
+            if k + 1 < len(tokens) and t + tokens[k + 1] in self.generic:
+                trades |= self.trades_of(t + tokens[k + 1])
+                skip = True
+                continue
+            latin = t
+            if not t.isascii():
+                latin = romanise(t)
+                if latin != t and latin.isascii():
+                    foreign = True
+                    if latin not in LEGAL and (sound := self.by_sound(latin)):
+                        trades |= sound
+                        continue
+                elif len(t) > 1 and not latin.isascii():
+                    strange.append(t)
+                    continue
+            if latin in LEGAL and latin != t:
+                continue
+            if latin in GIVEN and not given and latin not in self.generic and (len(latin) > 3 or not words):
+                given = GIVEN[latin]
+                continue
+            if found := self.trades_of(latin):
+                trades |= found
+                kept.append(heard(squeeze(latin)))
+                continue
+            if len(latin) == 1:
+                initial = initial or latin
+                continue
+            if len(latin) >= 12 and len(tokens) <= 3:
+                more, first, latin = self._unglue(latin)
+                trades |= more
+                given = given or first
+            words.append(heard(squeeze(latin)))
+        if not words and given:
+            words, given = [given], ""
+        elif not words:
+            # words of scripts that are not read count where nothing else names anybody; a scrap of them beside a name does not
+            words = strange or kept
+        return Name(given or initial, tuple(words), frozenset(trades), foreign)
+
+
+@lru_cache(maxsize=1 << 14)
+def _plain_code(word: str) -> str:
+    """The word's code with the sounds of s and z, and of k and ch, at its end written alike."""
+    c = squeeze(code(squeeze(word)).replace("C", "k"))
+    return squeeze(c[:-1] + "s") if c.endswith("j") else c
+
+
+def _one_stem(a: str, b: str) -> bool:
+    """Whether two words are one word with other endings: at least five and all but three letters of each begin alike."""
+    n = 0
+    for x, y in zip(a, b, strict=False):
+        if x != y:
+            break
+        n += 1
+    return n >= 5 and len(a) - n <= 3 and len(b) - n <= 3
+
+
+def _shortens(short: str, word: str) -> bool:
+    """Whether ``short`` is a short form of ``word``: letters of it in their order that are its beginning (three letters or more) and any others, or drop mostly vowels."""
+    if short[-1] == "y" and word.endswith("ies"):
+        word = word[:-3] + "y"
+    at = 0
+    for c in short:
+        at = word.find(c, at) + 1
+        if not at:
+            return False
+    return len(short) >= 3 and word.startswith(short[:3]) or sum(c in "aeiou" for c in short) <= len(short) // 3
+
+
+@lru_cache(maxsize=8)
+def reader(generic: tuple[str, ...], frequent: tuple[str, ...] = ()) -> NameReader:
+    """A reader, one per process and set of words."""
+    return NameReader(generic, frequent)
 
 
 # Spellings of one sound, replaced in this order before vowels are dropped.
-_CODE = (("chh", "C"), ("ch", "C"), ("sh", "s"), ("th", "t"), ("dh", "d"), ("bh", "b"), ("kh", "k"), ("gh", "g"), ("jh", "j"), ("zh", "j"), ("ph", "f"), ("z", "j"), ("c", "k"), ("w", "v"))
+_CODE = (("x", "ks"), ("chh", "C"), ("ch", "C"), ("ce", "se"), ("ci", "si"), ("ge", "je"), ("gi", "ji"), ("sh", "s"), ("th", "t"), ("dh", "d"), ("bh", "b"), ("kh", "k"), ("gh", "g"), ("jh", "j"), ("zh", "j"), ("ph", "f"), ("z", "j"), ("c", "k"), ("w", "v"))
 
 
 @lru_cache(maxsize=1 << 17)
@@ -224,6 +324,8 @@ def _word_score(a: str, b: str, by_sound: bool) -> float:
     short, long = sorted((a, b), key=len)
     if len(short) >= 4 and len(short) < len(long) and (long.startswith(short) or short[-1] == "k" and long.startswith(short[:-1] + "ch")):
         return 0.9  # cut short
+    if 3 <= len(short) < len(long) - 1 and short[0] == long[0] and short[-1] == long[-1] and _shortens(short, long):
+        return 0.9  # letters left out between the first and the last
     if len(short) == 3 and len(long) == 3:
         return 0.9 if edits(a, b, 1) <= 1 and code(a) == code(b) else 0.0
     if len(short) < 4 or len(long) - len(short) > 2:
@@ -286,14 +388,20 @@ def words_score(a: tuple[str, ...], b: tuple[str, ...], by_sound: bool = False)
     return best
 
 
+@lru_cache(maxsize=1 << 14)
 def given_fits(a: str, b: str) -> bool:
-    """Whether two first names may be one: equal, one an initial of the other, or one missing."""
-    return not a or not b or a == b or len(a) == 1 and b[0] == a or len(b) == 1 and a[0] == b
+    """Whether two first names may be one: one of their names in common, one an initial of the other, or one missing."""
+    if not a or not b or a == b:
+        return True
+    if len(a) == 1 or len(b) == 1:
+        initial, name = sorted((a, b), key=len)
+        return len(name) > 1 and any(initial in _INITIALS.get(n, n[0]) for n in name.split("|"))
+    return not set(a.split("|")).isdisjoint(b.split("|"))
 
 
 def trades_fit(a: frozenset[str], b: frozenset[str]) -> bool:
-    """Whether two trades may be one: a word in common, or one not said; electric and electricals share their short form."""
-    return not a or not b or bool(a & b) or {"electric", "electricals"} <= a | b and len(a) == len(b) == 1 or {"constructions", "construcciones"} <= a | b and len(a) == len(b) == 1
+    """Whether two trades may be one: a generic word in common, or one not said."""
+    return not a or not b or not a.isdisjoint(b)
 
 
 def name_score(a: Name, b: Name) -> float:

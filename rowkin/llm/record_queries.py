@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowkin.llm.linkage import CONFIDENT, linked_records
-from rowkin.llm.locations import same_location
+from rowkin.llm.locations import location_groups, same_location
 from rowkin.llm.spellings import spelling_groups, spelling_pairs
 from rowkin.session import table
 
@@ -15,6 +15,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_location(table(spark, sf_dir, "records").filter(F.col("split") == "test"))
 
 
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Building of each record, named by its least record, and the number of other records there."""
+    return location_groups(table(spark, sf_dir, "records").filter(F.col("split") == "test"))
+
+
 def p1_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_records(table(spark, sf_dir, "records").filter(F.col("split") == "test"))
 
@@ -34,5 +39,5 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_pairs(table(spark, sf_dir, "records"), "name_core")
 
 
-QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p5_found": p5_found, "p6_found": p6_found, "p6_groups": p6_groups}
+QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_groups": p6_groups}
 ORACLES: dict[str, str] = {}
