@@ -27,11 +27,21 @@ from rowkin.session import cut
 _PARTS = "anchor string, prefix string, core string, kind string, town string, post string, state string"
 
 
+@lru_cache(maxsize=1 << 17)
+def _letters(word: str) -> int:
+    """The set of the word's letters as bits."""
+    bits = 0
+    for c in word:
+        bits |= 1 << (ord(c) & 63)
+    return bits
+
+
 def edits(a: str, b: str, most: int) -> int:
     """Levenshtein distance with swapped neighbours as one edit, or most + 1 when greater."""
     if a == b:
         return 0
-    if abs(len(a) - len(b)) > most:
+    # an edit adds and removes at most a letter each
+    if abs(len(a) - len(b)) > most or (_letters(a) ^ _letters(b)).bit_count() > 2 * most:
         return most + 1
     # what both begin and end with takes no edit
     n, i = min(len(a), len(b)), 0
@@ -103,6 +113,8 @@ def post_cost(a: str, b: str) -> int:
 MOST = 5.0
 #: Sounds of a town's name that make a locality block.
 TOWN_SOUNDS = 2
+#: Sounds of a street's name that make a block of addresses without a town.
+STREET_SOUNDS = 3
 
 
 def _word_cost(a: str, b: str) -> float:
@@ -218,17 +230,29 @@ def post_blocks(post: str) -> tuple[str, ...]:
 
 
 def _index_keys(core: pd.Series, town: pd.Series, post: pd.Series) -> pd.Series:
-    """Blocks times deletions of forms with a town."""
+    """Keys of forms with a town: the postcode and the set of the town's sounds, each with every deletion of the street; the beginning and the
+    end of the town with the street as heard. So an error in the street or in the town, or one in each if the postcode agrees, leaves a key."""
     out = []
     for c, t, p in zip(core, town, post, strict=True):
-        blocks = (*town_blocks(t), *(("P:" + p.lstrip("0"),) if p else ()))
-        out.append([b + "/" + k for b in blocks for k in street_keys(c)])
+        begins, ends, sounds = town_blocks(t)
+        blocks = (sounds, *(("P:" + p.lstrip("0"),) if p else ()))
+        streets = street_keys(c)
+        plain = heard(romanise(c.replace(" ", "")))
+        out.append([b + "/" + k for b in blocks for k in streets] + [begins + "/" + plain, ends + "/" + plain])
     return pd.Series(out)
 
 
+@lru_cache(maxsize=1 << 16)
+def street_ends(core: str) -> tuple[str, ...]:
+    """The sounds at the beginning and at the end of the street's words as one."""
+    word = heard(romanise(core.replace(" ", "")))
+    sounds = "".join(c for i, c in enumerate(word) if i == 0 or c not in "aeiou")
+    return (f"b:{sounds[:STREET_SOUNDS]}", f"e:{sounds[-STREET_SOUNDS:]}")
+
+
 def _area_keys(core: pd.Series, post: pd.Series) -> pd.Series:
-    """Postcode blocks times deletions; "?" of addresses without a postcode."""
-    return pd.Series([[b + "/" + k for b in (post_blocks(p) or ("?",)) for k in street_keys(c)] for c, p in zip(core, post, strict=True)])
+    """Postcode blocks times the street's ends; "?" of addresses without a postcode."""
+    return pd.Series([[b + "/" + k for b in (post_blocks(p) or ("?",)) for k in street_ends(c)] for c, p in zip(core, post, strict=True)])
 
 
 def _costs(*columns: pd.Series) -> pd.Series:
