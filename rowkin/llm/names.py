@@ -98,8 +98,13 @@ class NameReader:
         for w in frequent:
             if w not in self.generic and w not in GIVEN and w.isascii() and (found := frozenset(g for g in self.by_first.get(w[0], ()) if len(w) < len(g) and _shortens(w, g))):
                 self.forms[w] = found
-        self.ends = sorted((w for w in (*words, *self.forms) if len(w) >= 3), key=lambda w: (-len(w), w))
-        self.starts = sorted((w for w in (*words, *GIVEN) if w.isascii() and len(w) >= 4), key=lambda w: (-len(w), w))
+        #: words that may end or begin a word, the longest first, by their last three and first four letters
+        self.ends: dict[str, list[str]] = {}
+        self.starts: dict[str, list[str]] = {}
+        for w in sorted((w for w in (*words, *self.forms) if len(w) >= 3), key=lambda w: (-len(w), w)):
+            self.ends.setdefault(w[-3:], []).append(w)
+        for w in sorted({w for w in (*words, *GIVEN) if w.isascii() and len(w) >= 4}, key=lambda w: (-len(w), w)):
+            self.starts.setdefault(w[:4], []).append(w)
         self._trades: dict[str, frozenset[str]] = {}
         self._names: dict[str, Name] = {}
 
@@ -147,7 +152,7 @@ class NameReader:
         again = True
         while again and len(word) >= 9:
             again = False
-            for end in self.ends:
+            for end in self.ends.get(word[-3:], ()):
                 if word.endswith(end) and len(word) - len(end) >= 6 and (len(end) >= 4 or not trades):
                     trades |= self.trades_of(end)
                     word = word[: -len(end)]
@@ -155,7 +160,7 @@ class NameReader:
                     break
             if again:
                 continue
-            for start in self.starts:
+            for start in self.starts.get(word[:4], ()):
                 if word.startswith(start) and len(word) - len(start) >= 6:
                     if start in self.generic:
                         if len(start) < 5:
@@ -364,7 +369,7 @@ def words_score(a: tuple[str, ...], b: tuple[str, ...], by_sound: bool = False)
             best = total / len(a) if least > 0 else 0.0
         if best > 0:
             return best
-    # written together or apart: every turn of the shorter list against the other as one word
+    # written together or apart: every turn of the longer list against the other as one word
     p, q = (a, b) if len(a) <= len(b) else (b, a)
     best = 0.0
     if len(p) == 1 and len(q) == 2 and not by_sound:
@@ -374,17 +379,17 @@ def words_score(a: tuple[str, ...], b: tuple[str, ...], by_sound: bool = False)
             if head != p[0] and len(head) >= 4 and first.startswith(head) or p[0].startswith(second) and len(p[0]) - len(second) >= 4 and first.startswith(p[0][len(second) :]):
                 return 0.9
     if len(q) <= 4:
+        x = "".join(p)
+        cx = code(x)
         for i in range(len(q)):
-            for j in range(len(p)):
-                x, y = "".join(q[i:] + q[:i]), "".join(p[j:] + p[:j])
-                if by_sound:
-                    cx, cy = code(x), code(y)
-                    best = max(best, 0.95 if cx == cy else 0.9 if min(len(cx), len(cy)) >= 6 and edits(cx, cy, 1) <= 1 else 0.0)
-                elif abs(len(x) - len(y)) <= 2 and min(len(x), len(y)) >= 7:
-                    e = edits(x, y, 2)
-                    best = max(best, 0.98 if e == 0 else 0.93 if e == 1 else 0.9 if e == 2 and min(len(x), len(y)) >= 10 else 0.0)
-                elif min(len(x), len(y)) >= 8 and code(x) == code(y):
-                    best = max(best, 0.9)
+            y = "".join(q[i:] + q[:i])
+            if by_sound:
+                cy = code(y)
+                best = max(best, 0.95 if cx == cy else 0.9 if min(len(cx), len(cy)) >= 6 and edits(cx, cy, 1) <= 1 else 0.0)
+            elif abs(len(x) - len(y)) <= 2 and min(len(x), len(y)) >= 7 and (e := edits(x, y, 2)) <= 2:
+                best = max(best, 0.98 if e == 0 else 0.93 if e == 1 else 0.9 if min(len(x), len(y)) >= 10 else 0.0)
+            elif min(len(x), len(y)) >= 8 and cx == code(y):
+                best = max(best, 0.9)
     return best
 
 
