@@ -3,7 +3,8 @@
 Every character of a text is judged by its script and its place. Characters that are never seen, odd spaces, full-width and other
 compatibility forms and detached accents have one repair each. Look-alike letters are repaired script-aware: the dominant script of
 a token is determined, and only in tokens of mixed script are the intruders replaced, and only when the result is a word of the
-corpus. A token wholly in one script stays as it is.
+corpus. A token wholly in one script stays as it is. Whether a token that is no word of the corpus (a misspelt one) was mixed by
+look-alikes is asked of the vocabulary too: every three letters in a row of the result must stand in some of its words.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowkin.session import cut
@@ -158,8 +160,21 @@ def repair_token(token: str) -> tuple[str, bool]:
     return token, False
 
 
-#: Result of the search in one value.
-_FOUND = "odd_chars int, base string, mixed array<struct<token:string,fixed:string>>"
+#: Result of the search in one value; ``words`` are the runs of letters that the repair changed, in lower case.
+_FOUND = "odd_chars int, base string, mixed array<struct<token:string,fixed:string,words:array<string>>>"
+_TOKEN = regex.compile(r"\S+")
+#: What separates words of the vocabulary, and words of a token.
+_BETWEEN = r"[^\p{L}\p{M}]+"
+_BETWEEN_WORDS = regex.compile(_BETWEEN)
+
+
+def _changed(token: str, fixed: str) -> list[str]:
+    """The runs of letters of ``fixed`` that differ from ``token``'s; both have the same length."""
+    out = []
+    for a, b in _runs(fixed):
+        if fixed[a:b] != token[a:b]:
+            out += [w for w in _BETWEEN_WORDS.split(fixed[a:b].lower()) if w]
+    return out
 
 
 def _examine(texts: pd.Series) -> pd.DataFrame:
@@ -170,10 +185,10 @@ def _examine(texts: pd.Series) -> pd.DataFrame:
         base.append(fixed)
         found = []
         if not fixed.isascii():
-            for token in fixed.split():
+            for token in _TOKEN.findall(fixed):
                 to, is_mixed = repair_token(token)
                 if is_mixed:
-                    found.append({"token": token, "fixed": to})
+                    found.append({"token": token, "fixed": to, "words": _changed(token, to)})
         mixed.append(found)
     return pd.DataFrame({"odd_chars": odd, "base": base, "mixed": mixed})
 
@@ -183,20 +198,26 @@ def _substitute(base: pd.Series, mixed: pd.Series, known: pd.Series) -> pd.Serie
     for text, tokens, words in zip(base, mixed, known, strict=True):
         if tokens is not None and len(tokens) and words is not None and len(words):
             good = set(words)
-            to = {t["token"]: t["fixed"] for t in tokens if t["fixed"].lower() in good}
-            parts = text.split(" ")
-            text = " ".join(to.get(p, p) for p in parts)
+            to = {t["token"]: t["fixed"] for t in tokens if all(w in good for w in t["words"])}
+            text = _TOKEN.sub(lambda m, to=to: to.get(m.group(), m.group()), text)
         out.append(text)
     return pd.Series(out)
 
 
+def _letters(word: Column) -> Column:
+    """Every three letters in a row of a word with its ends marked."""
+    padded = F.concat(F.lit("^"), word, F.lit("$"))
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(word))), lambda i: F.substring(padded, i, 3))
+
+
 def repair_values(df: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """``(<keys>, field, value, repaired, odd_chars, mixed_tokens, substituted_tokens)`` of every value holding a character beyond ASCII.
+    """``(<keys>, field, value, repaired, odd_chars, mixed_tokens, likely_tokens, substituted_tokens)`` of every value holding a character beyond ASCII.
 
     ``odd_chars`` counts characters with a repair of their own, ``mixed_tokens`` the tokens of mixed script whose intruders all are
-    look-alikes, ``substituted_tokens`` those of them whose repaired form is a word of the corpus (a token of one script of some value of
-    ``fields``, compared in lower case); only these are replaced in ``repaired``. Values in ASCII alone need no repair and give no row, nor do
-    null and empty values. Rows keep their number: repeated deliveries give repeated rows.
+    look-alikes, ``substituted_tokens`` those of them whose repaired words are all words of the corpus (letters between other
+    characters in values of ``fields``, compared in lower case); only these are replaced in ``repaired``. ``likely_tokens`` adds those whose
+    repaired words are made of three-letter sequences of such words. Values in ASCII alone need no repair and give no row, nor do null and
+    empty values. Rows keep their number: repeated deliveries give repeated rows.
     """
     from pyspark.sql.functions import pandas_udf
 
@@ -207,21 +228,35 @@ def repair_values(df: DataFrame, keys: Sequence[str], fields: Sequence[str]) ->
     substitute = pandas_udf(_substitute, "string")
     seen = cut(beyond.withColumn("f", examine("value")).select(*keys, "field", "value", "f.odd_chars", "f.base", "f.mixed"), "repair")
 
-    # which repaired tokens are words of the corpus: the tokens wanted are few, the corpus is reduced to its distinct tokens first
-    wanted = seen.filter(F.size("mixed") > 0).select(F.explode("mixed").alias("m")).select(F.lower("m.fixed").alias("word")).distinct()
-    words = long.select(F.explode(F.split(F.lower("value"), r"\s+")).alias("word")).distinct()
-    known = wanted.join(words, "word", "left_semi")
-    tokens = seen.filter(F.size("mixed") > 0).select("base", F.explode("mixed").alias("m")).select("base", F.lower("m.fixed").alias("word")).distinct()
-    per_value = tokens.join(known, "word").groupBy("base").agg(F.collect_set("word").alias("known"))
-    plain = seen.filter(F.size("mixed") == 0).withColumn("known", F.array().cast("array<string>"))
-    mixed = seen.filter(F.size("mixed") > 0).join(per_value, "base", "left")
-    both = plain.select(*keys, "field", "value", "base", "odd_chars", "mixed", "known").unionByName(mixed.select(*keys, "field", "value", "base", "odd_chars", "mixed", "known"))
-    n_known = F.size(F.filter("mixed", lambda m: F.coalesce(F.array_contains("known", F.lower(m["fixed"])), F.lit(False))))
+    # which repaired words are words of the corpus: the words wanted are few, the corpus is reduced to its distinct words first
+    wanted = cut(seen.filter(F.size("mixed") > 0).select(F.explode("mixed").alias("m")).select(F.explode("m.words").alias("word")).distinct(), "wanted")
+    words = long.select(F.explode(F.split(F.lower("value"), _BETWEEN)).alias("word")).filter("word <> ''").distinct()
+    known = cut(wanted.join(words, "word", "left_semi"), "known")
+    # which of the others are made of sequences of letters that words of the corpus hold
+    parts = wanted.join(known, "word", "left_anti").select("word", F.explode(_letters(F.col("word"))).alias("three")).distinct()
+    held = words.select(F.explode(_letters(F.col("word"))).alias("three")).join(parts.select("three").distinct(), "three", "left_semi").distinct()
+    likely = parts.join(held.withColumn("held", F.lit(1)), "three", "left").groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.count("held").alias("n_held")).filter("n = n_held").select("word")
+    marks = known.withColumn("sure", F.lit(True)).unionByName(likely.withColumn("sure", F.lit(False)))
+
+    tokens = seen.filter(F.size("mixed") > 0).select("base", F.explode("mixed").alias("m")).select("base", F.explode("m.words").alias("word")).distinct()
+    per_value = tokens.join(marks, "word").groupBy("base").agg(F.collect_set(F.when(F.col("sure"), F.col("word"))).alias("known"), F.collect_set("word").alias("likely"))
+    empty = F.array().cast("array<string>")
+    plain = seen.filter(F.size("mixed") == 0).withColumn("known", empty).withColumn("likely", empty)
+    mixed = seen.filter(F.size("mixed") > 0).join(per_value, "base", "left").withColumn("known", F.coalesce("known", empty)).withColumn("likely", F.coalesce("likely", empty))
+    cols = [*keys, "field", "value", "base", "odd_chars", "mixed", "known", "likely"]
+    both = plain.select(*cols).unionByName(mixed.select(*cols))
+
+    def n_in(name: str) -> Column:
+        return F.size(F.filter("mixed", lambda m: F.forall(m["words"], lambda w: F.array_contains(name, w))))
+
     repaired = F.when(F.size("mixed") > 0, substitute("base", "mixed", "known")).otherwise(F.col("base"))
-    return both.select(*keys, "field", "value", repaired.alias("repaired"), "odd_chars", F.size("mixed").alias("mixed_tokens"), n_known.alias("substituted_tokens"))
+    return both.select(*keys, "field", "value", repaired.alias("repaired"), "odd_chars", F.size("mixed").alias("mixed_tokens"), n_in("likely").alias("likely_tokens"), n_in("known").alias("substituted_tokens"))
 
 
 def odd_values(df: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """``(<keys>, field)``, each once, of the values with a character that is not the usual one for what the reader sees, or that is not seen."""
-    found = repair_values(df, keys, fields).filter((F.col("odd_chars") > 0) | (F.col("mixed_tokens") > 0))
+    """``(<keys>, field)``, each once, of the values with a character that is not the usual one for what the reader sees, or that is not seen.
+
+    A token of mixed script counts when the vocabulary supports its repaired form, as a word or by its sequences of letters.
+    """
+    found = repair_values(df, keys, fields).filter((F.col("odd_chars") > 0) | (F.col("likely_tokens") > 0))
     return found.select(*keys, "field").distinct()
