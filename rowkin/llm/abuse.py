@@ -1,10 +1,11 @@
 """Scores for abusive, hateful and sexual content by a weighted finite-state pattern grammar.
 
-A document runs through three transducers in turn. The first maps every written token to words of the lexicon, through disguises: look-alike
-characters, digits for letters, masked letters, separated or repeated letters and swapped neighbours. The second maps words and phrases to
-classes (insult, belittling word, person, group, wish of harm, explicit word, reported speech, feeling, negation). The third is a set of
-weighted automata over classes and words that accept whole clauses of insult, threat, hate and explicit content; reported speech, a feeling of
-one's own and negation before the insult take the weight away. So a word scores only as part of a clause aimed at somebody.
+A clause runs through transducers in turn, each reading the tape that the one before has written. The first maps every written token to
+words of the lexicon, through disguises: look-alike characters, digits for letters, masked letters, separated or repeated letters and
+swapped neighbours. The second maps words and phrases to classes: insult, belittling word, threat, person and group as targets, violent
+deed, explicit word; names of peoples are recognised by their endings. The third takes the abusive classes off the tape again where they are
+reported speech, said of oneself, negated, or part of a harmless compound. The last is a set of weighted automata over classes and words that
+accept clauses of insult, threat, hate and explicit content. So a word scores only as part of a clause aimed at somebody.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ class Lexicon:
 
     def __init__(self) -> None:
         self.classes: dict[str, set[str]] = {}
-        for name, text in (("INSULT", g.INSULT), ("SLUR", g.SLUR), ("PERSON", g.PERSON), ("GROUP", g.GROUP), ("HARM", g.HARM_WORDS), ("EXPLICIT", g.EXPLICIT), ("STRONG", g.STRONG_EXPLICIT), ("REPORT", g.REPORT), ("FELT", g.FELT), ("NEGATION", g.NEGATION)):
+        for name, text in (("INSULT", g.INSULT), ("SLUR", g.SLUR), ("PERSON", g.PERSON), ("GROUP", g.GROUP), ("HARM", g.HARM_WORDS), ("EXPLICIT", g.EXPLICIT), ("STRONG", g.STRONG_EXPLICIT), ("REPORT", g.REPORT), ("SELF", g.SELF), ("COPULA", g.COPULA), ("NEGATION", g.NEGATION), ("VIOLENT", g.VIOLENT), ("ILL", g.ILL), ("WISH", g.WISH), ("FUTURE", g.FUTURE), ("EXPEL", g.EXPEL), ("CRIME", g.CRIME)):
             for word in text.split():
                 self._put(fold(word), name)
         for word in [w for w, c in self.classes.items() if "INSULT" in c]:
@@ -56,7 +57,7 @@ class Lexicon:
             if word.endswith("il"):
                 self._put(word[:-2] + "iles", "INSULT")
         self.phrases: dict[str, list[tuple[list[str], str]]] = {}
-        for name, texts in (("INSULT", g.INSULT_PHRASES), ("GROUP", g.GROUP_PHRASES), ("HARM", g.HARM_PHRASES)):
+        for name, texts in (("INSULT", g.INSULT_PHRASES), ("GROUP", g.GROUP_PHRASES), ("HARM", g.HARM_PHRASES), ("ILL", g.ILL_PHRASES)):
             for text in texts:
                 parts = fold(text).replace("'", " ").split()
                 self.phrases.setdefault(parts[0], []).append((parts, name))
@@ -65,13 +66,18 @@ class Lexicon:
         literal = {w for _, p in g.PATTERNS for e in p.split() for w in e.split("|") if w.isalpha() and w.islower()} | {w for ps in self.phrases.values() for p, _ in ps for w in p}
         self.known = set(self.classes) | {w for w in literal if len(w) > 3}
         # disguises are undone towards these words only
-        self.hidden = {w for w, c in self.classes.items() if c & {"INSULT", "SLUR", "HARM", "EXPLICIT", "STRONG"} and len(w) > 2} | {w for w in literal if len(w) > 4} | {"thieves", "animals"}
+        self.hidden = {w for w, c in self.classes.items() if c & {"INSULT", "SLUR", "HARM", "EXPLICIT", "STRONG", "CRIME"} and len(w) > 2} | {w for w in literal if len(w) > 4}
+        self.peoples = [(regex.compile(pattern), frozenset(before.split())) for pattern, before in g.PEOPLES]
         self.squeezed: dict[str, set[str]] = {}
         self.swapped: dict[str, set[str]] = {}
-        self.by_shape: dict[tuple[int, str], set[str]] = {}
+        #: the hidden words as a tree of letters; the end of a word is marked by ""
+        self.tree: dict = {}
         for w in self.hidden:
             self.squeezed.setdefault(_squeeze(w), set()).add(w)
-            self.by_shape.setdefault((len(w), w[0]), set()).add(w)
+            node = self.tree
+            for c in w:
+                node = node.setdefault(c, {})
+            node[""] = w
             if len(w) >= 4:
                 for i in range(len(w) == 4, len(w) - 1):
                     other = w[:i] + w[i + 1] + w[i] + w[i + 2 :]
@@ -90,21 +96,32 @@ class Lexicon:
         if any(c in _WILD for c in token) or any(c.isdigit() for c in token):
             if token.isdigit() and len(token) < 3 or not any(c.isalpha() or c == "*" for c in token) and not token.isdigit():
                 return frozenset((token,))
-            spellings = [""]
-            for c in token:
-                options = _DIGITS.get(c) or _SIGNS.get(c) or c
-                spellings = [s + o for s in spellings for o in options][:16]
+            out |= self._readings(token)
+            plain = "".join((_DIGITS.get(c) or _SIGNS.get(c) or c)[0] for c in token)
             if not token.isdigit():
-                for s in spellings:
-                    out |= {s} if s in self.known else self._plain(s)
-            if any(c in _WILD for c in token) and token[0].isalpha():
-                for w in self.by_shape.get((len(token), token[0]), ()):
-                    if all(a == b or a in _WILD for a, b in zip(token, w, strict=True)):
-                        out.add(w)
+                out |= {plain} if plain in self.known else self._plain(plain)
         else:
             out |= self._plain(token)
         return frozenset(out or (token,))
 
+    def _readings(self, token: str) -> set[str]:
+        """Every hidden word that the token can be read as: digits and signs as the letters they look like, signs also as any letter.
+
+        The token and the tree of words are walked together, so all readings are found and none but those of words are built.
+        """
+        at = [self.tree]
+        wild = token[0].isalpha()
+        for c in token:
+            letters = (_DIGITS.get(c, "") or _SIGNS.get(c, "")) + c
+            after = []
+            for node in at:
+                if wild and c in _WILD:
+                    after += [n for k, n in node.items() if k]
+                else:
+                    after += [node[k] for k in letters if k in node]
+            at = after
+        return {node[""] for node in at if "" in node}
+
     def _plain(self, token: str) -> set[str]:
         if token in self.hidden:
             return {token}
@@ -127,7 +144,53 @@ class Lexicon:
                         # the class lies on the phrase's first and last token
                         for j in {i, i + len(parts) - 1}:
                             out[j] = (out[j][0], out[j][1] | {name})
-        return out
+        self._mark_peoples(tokens, out)
+        return self._scoped(out)
+
+    def _mark_peoples(self, tokens: list[frozenset[str]], out: list) -> None:
+        for i, words in enumerate(tokens):
+            word = next(iter(words))
+            if len(words) > 1 or len(word) < 6 or out[i][1] or word in g.NO_PEOPLE:
+                continue
+            near = {w for t in tokens[max(0, i - 2) : i] for w in t}
+            if any(pattern.fullmatch(word) and (not before or not before.isdisjoint(near)) for pattern, before in self.peoples):
+                out[i] = (out[i][0], out[i][1] | {"GROUP"})
+
+    def _scoped(self, tape: list[tuple[frozenset[str], frozenset[str]]]) -> list[tuple[frozenset[str], frozenset[str]]]:
+        """The tape without the abusive classes that stand in reported speech, are said of oneself, negated, or begin a harmless compound."""
+        drop: set[int] = set()
+        for i, (words, classes) in enumerate(tape):
+            if "REPORT" in classes:
+                before = tape[max(0, i - 3) : i]
+                own = any(not w.isdisjoint(("i", "we", "ich", "wir", "je", "j", "yo")) for w, _ in before)
+                passive = any("COPULA" in c or not w.isdisjoint(("got", "been", "wurde", "ete", "fui")) for w, c in before[-2:])
+                comma = i + 1 < len(tape) and "," in tape[i + 1][0]
+                # what the writer says to others is the writer's own; what others say, or the writer is told, is reported
+                if not comma and (passive or not own):
+                    drop.update(range(i + 1, len(tape)))
+            if "SELF" in classes:
+                for k in range(i + 1, min(len(tape), i + 4)):
+                    if "COPULA" in tape[k][1] and not any(not w.isdisjoint(("you", "du", "tu", "toi")) for w, _ in tape[i:k]):
+                        drop.update(range(k + 1, min(len(tape), k + 6)))
+                        break
+            if "INSULT" in classes or "SLUR" in classes:
+                head = tape[max(0, i - 4) : i]
+                no = next((k for k in range(len(head) - 1, -1, -1) if "NEGATION" in head[k][1]), None)
+                if no is not None and "only" not in {w for t, _ in head[no:] for w in t}:
+                    close = [c for _, c in (*tape[max(0, i - 4 + no - 1) : i],)]
+                    kein = any(w.startswith("kein") or w in ("ningun", "ninguna", "aucun", "aucune") for w in head[no][0])
+                    if (kein or any("COPULA" in c for c in close) or not head[no][0].isdisjoint(("isn", "isnt", "aren", "arent", "wasn", "wasnt"))) and not any("GROUP" in c for _, c in head) and not any("," in w for w, _ in head[no:]):
+                        drop.add(i)
+            if classes & {"HARM", "ILL", "VIOLENT"} and any("NEGATION" in c for _, c in tape[max(0, i - 3) : i]) and "HARM" not in classes:
+                drop.add(i)
+            if "INSULT" in classes and not words.isdisjoint(g.DOUBLE) and i + 1 < len(tape):
+                after, more = tape[i + 1]
+                if all(w.isalpha() for w in after) and after.isdisjoint(g.AFTER) and not more - {"NEGATION"}:
+                    drop.add(i)
+        return [(w, c - _ABUSIVE) if i in drop else (w, c) for i, (w, c) in enumerate(tape)]
+
+
+_ABUSIVE = frozenset(("INSULT", "SLUR", "HARM", "ILL", "VIOLENT", "CRIME", "EXPEL"))
 
 
 def _element(text: str) -> tuple[frozenset[str], frozenset[str]]:
@@ -203,20 +266,9 @@ class Grammar:
             a = self.automata[k]
             if a.weight <= best:
                 continue
-            begin = a.accepts(tokens)
-            if begin is None:
+            if a.accepts(tokens) is None:
                 continue
-            weight = a.weight
-            before = tokens[max(0, begin - 4) : begin + 4]
-            insults = [k for k, (_, c) in enumerate(tokens) if "INSULT" in c or "SLUR" in c]
-            harm = any("HARM" in c for _, c in tokens)
-            if insults and not harm:
-                head = tokens[max(0, insults[0] - 5) : insults[0]]
-                if any("REPORT" in c or "FELT" in c for _, c in head) and not any("you" in w for w, _ in head):
-                    weight *= 0.2
-                elif any("NEGATION" in c for _, c in tokens[max(0, insults[0] - 3) : insults[0]]) and not any("GROUP" in c for _, c in before):
-                    weight *= 0.3
-            best = max(best, weight)
+            best = a.weight
         return best
 
     def score(self, text: str) -> float:

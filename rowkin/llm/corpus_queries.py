@@ -14,7 +14,7 @@ def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p9_leaks(spark, sf_dir).select("doc_id", "item_id")
+    return p9_leaks(spark, sf_dir).filter("kind = 'wording'").select("doc_id", "item_id")
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:

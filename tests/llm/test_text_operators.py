@@ -73,7 +73,7 @@ def test_substitution_needs_the_vocabulary(spark):
     df = spark.createDataFrame([(1, "Аcme Foods"), (2, "acme foods"), (3, "Аzzz Foods"), (4, "Ａ​b" + "x" * 20000)], "id int, n string")
     got = {r["id"]: r for r in repair_values(df, ["id"], ["n"]).collect()}
     assert (got[1]["repaired"], got[1]["substituted_tokens"]) == ("Acme Foods", 1)
-    assert (got[3]["repaired"], got[3]["mixed_tokens"], got[3]["substituted_tokens"]) == ("Аzzz Foods", 1, 0)
+    assert (got[3]["repaired"], got[3]["mixed_tokens"], got[3]["substituted_tokens"], got[3]["likely_tokens"]) == ("Аzzz Foods", 1, 0, 0)
     assert got[4]["repaired"] == "Ab" + "x" * 20000
     assert set(got) == {1, 3, 4}
 
@@ -129,8 +129,14 @@ def test_leakage(spark):
     ]
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("key", F.lit(1)).withColumn("rep", F.lit(2))
     i = spark.createDataFrame(items, "item_id long, text string").withColumn("body", F.lit("x"))
-    got = {(r["doc_id"], r["item_id"]) for r in leaked_items(d, i).collect()}
+    leaks = leaked_items(d, i).collect()
+    got = {(r["doc_id"], r["item_id"]) for r in leaks if r["kind"] == "wording"}
+    # the same story with another town, person and other numbers
+    assert {r["doc_id"] for r in leaks if r["kind"] == "template"} >= {2}
     assert got == {(x, y) for x in (1, 6, 11, 12) for y in (0, 7)} | {(13, 1)}
+    short = i.unionByName(spark.createDataFrame([(20, "Bodo sells plums", "x"), (21, "Zanzibar", "x")], "item_id long, text string, body string"))
+    more = d.unionByName(spark.createDataFrame([(30, "Here Bodo sells plums today.", 1, 2), (31, "zanzibar", 1, 2), (32, "Bodo has plums", 1, 2)], "doc_id long, text string, key int, rep int"))
+    assert {(r["doc_id"], r["item_id"]) for r in leaked_items(more, short).filter("kind = 'wording'").collect()} == got | {(30, 20), (31, 21)}
     assert leaked_items(d.limit(0), i).count() == 0
     assert leaked_items(d, i.limit(0)).count() == 0
 
@@ -152,6 +158,33 @@ def test_abuse_sentences():
     assert [t for t in HARMLESS if g.score(t) >= 0.5] == []
 
 
+#: Sentences written before the grammar was tried on them; none is in the tables.
+HELD_OUT_ABUSE = [
+    "I hope you get run over.", "I will find you and hurt you.", "Norwegians are vermin and should be deported.", "The plumber is a lazy bastard.", "You are all worthless liars, go to hell.", "What an absolute moron answered my mail.", "Bolivians are nothing but thieves.", "Get these immigrants out, deport them all.",
+    "Your cook is a filthy swine and you know it.", "I'm going to beat you when I see you.", "The postman, what a stupid cow and a cretin.", "Women are born liars.", "Vous êtes une bande de crétins.", "Le patron est un gros connard.", "Ich werde dich umbringen, du Ratte.", "Der Chef ist ein Arschloch.", "Die Spanier sind alle Diebe.",
+    "Eres un payaso y un inútil.", "Ojalá te mueras, imbécil.", "Los bolivianos son escoria.", "Send me your naked tits, I want to fuck tonight.", "She is a dumb wh0re.", "You p4thetic l0ser.", "Muslims should be thrown out of the country.", "Shut your face, you imbecile.", "Everyone who works here is a complete idiot.", "I hope the driver dies.", "Refugees should be locked up.",
+]
+HELD_OUT_HARMLESS = [
+    "The driver was a real pig farmer.", "The seller told me to rot in hell, I reported it.", "She said you are idiots.", "This knife will kill any tomato.", "I am such an idiot, I forgot the key.", "My son calls his sister a loser when they play this game.", "The Norwegians make good knives.", "The worm drive broke after a week.", "No driver is a bastard here, they were all friendly.",
+    "The rat trap works, the rats are gone.", "A hot day, a naked flame: keep away from children.", "The courier is not a liar, the parcel came.", "These scissors beat the old ones.", "I was called a cretin by the clerk.", "Women will love this scarf.", "He never was a bad boss.", "Die Schweine auf dem Kissen sind süß.", "Je me suis senti idiot.", "El perro es un cerdo comiendo, nos encanta.", "The clown costume fits my kid.",
+    "Dumb design, stupid colour, total trash.", "The dog is dead tired.", "It would be a sin to burn this candle.", "Send it back if it breaks.", "Germans and Austrians pay the same postage.", "The hoe is sharp and the old hag mask is funny.", "I hope you restock soon.", "The killer feature is the lamp.",
+]
+
+
+def test_abuse_on_held_out_sentences():
+    g = grammar()
+    hits = [t for t in HELD_OUT_ABUSE if g.score(t) >= 0.5]
+    false = [t for t in HELD_OUT_HARMLESS if g.score(t) >= 0.5]
+    recall, precision = len(hits) / len(HELD_OUT_ABUSE), len(hits) / max(1, len(hits) + len(false))
+    assert recall >= 0.8 and precision >= 0.9, (recall, precision)
+
+
+def test_disguises_are_read_as_a_whole():
+    words = grammar().lexicon.words
+    assert "idiot" in words("1d107") and "dickhead" in words("d1ckh34d") and "scumbag" in words("sc*mb@g") and "motherfucker" in words("m*th3rf*ck3r")
+    assert words("100") == frozenset(("100",)) and words("b2b") == frozenset(("b2b",))
+
+
 def test_abuse_documents(spark):
     rows = [(1, ABUSE[0], "a"), (2, HARMLESS[0], "a"), (3, None, None), (4, "", None), (5, "fine. " * 20000 + ABUSE[1], "b")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("score", F.lit("clash"))
