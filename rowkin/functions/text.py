@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-# First and last code point of the scripts told apart.
+# First and last code points of the scripts told apart, as blocks of the Unicode standard. Kana lie inside the wide CJK range and count as CJK.
 SCRIPT_RANGES = {
     "LATIN": ((0x0041, 0x005A), (0x0061, 0x007A), (0x00C0, 0x024F), (0x1E00, 0x1EFF)),
     "DEVANAGARI": ((0x0900, 0x097F),),
@@ -23,10 +23,27 @@ SCRIPT_RANGES = {
     "TELUGU": ((0x0C00, 0x0C7F),),
     "KANNADA": ((0x0C80, 0x0CFF),),
     "MALAYALAM": ((0x0D00, 0x0D7F),),
-    "ARABIC": ((0x0600, 0x06FF),),
-    "CYRILLIC": ((0x0400, 0x04FF),),
+    "SINHALA": ((0x0D80, 0x0DFF),),
+    "THAI": ((0x0E00, 0x0E7F),),
+    "LAO": ((0x0E80, 0x0EFF),),
+    "TIBETAN": ((0x0F00, 0x0FFF),),
+    "MYANMAR": ((0x1000, 0x109F),),
+    "KHMER": ((0x1780, 0x17FF),),
+    "HANGUL": ((0xAC00, 0xD7AF),),
     "GREEK": ((0x0370, 0x03FF),),
-    "CJK": ((0x4E00, 0x9FFF),),
+    "CYRILLIC": ((0x0400, 0x04FF),),
+    "ARMENIAN": ((0x0530, 0x058F),),
+    "HEBREW": ((0x0590, 0x05FF),),
+    "ARABIC": ((0x0600, 0x06FF),),
+    "SYRIAC": ((0x0700, 0x074F),),
+    "THAANA": ((0x0780, 0x07BF),),
+    "GEORGIAN": ((0x10A0, 0x10FF),),
+    "ETHIOPIC": ((0x1200, 0x137F),),
+    "CHEROKEE": ((0x13A0, 0x13FF),),
+    "MONGOLIAN": ((0x1800, 0x18AF),),
+    "TIFINAGH": ((0x2D30, 0x2D7F),),
+    "CJK": ((0x2E80, 0x9FFF),),
+    "FULLWIDTH": ((0xFF00, 0xFFEF),),
 }
 
 
@@ -138,7 +155,7 @@ def first_number(c: Column | str) -> Column:
 
 def drop_placeholders(c: Column | str) -> Column:
     """The value without null placeholders."""
-    return F.trim(F.regexp_replace(c, r"(?i)<null>|\bnull\b|\bn/a\b", ""))
+    return F.trim(F.regexp_replace(c, r"(?i)<\s*null\s*>|\bnull\b|\bn/a\b", ""))
 
 
 def name_tokens(c: Column | str) -> Column:
@@ -151,25 +168,71 @@ def word_tokens(c: Column | str) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0)), lambda t: (F.length(t) > 1) & ~t.rlike(r"^\p{Nd}+$"))
 
 
-# Legal words and landmark words looked for in profiles.
-LEGAL_WORDS = "llc|ltd|limited|inc|incorporated|corp|corporation|co|company|pvt|private|llp|lp|plc|sarl|sas|sasu|eurl|sa|gmbh|ag|kg|sl|bv|nv"
+# Legal words that may stand first in a name.
+LEGAL_FIRST = (
+    "m/s s/s msme private pvt proprietorship partnership sasuru sarl eurl sas sasu sca scs snc sci gmbh incorporated corporation company limited plc pte pty llc inc ltd corp llp sp sa co lp ab as bv nv oy"
+)
+# Endings of web names that profiles look for.
+DOMAIN_ENDS = "com|in|net|org|co|us|fr"
+# Wordings of landmarks, by kind.
+LANDMARKS = {
+    "near": "near|nearby",
+    "opposite": "opposite|opp",
+    "behind": "behind",
+    "beside": "beside|adjacent to|next to",
+    "in_front": "in front of|front of",
+    "across": "across from|across the street",
+    "esquina": "esquina|vista|frente",
+    "corner": "corner",
+    "rear": "rear|back of|backside",
+}
+#: Landmark words of the address normaliser.
 LANDMARK_WORDS = "near|nr|opp|opposite|behind|beside|next to|adjacent to|above|below"
+#: What a word may not touch: letters, digits and the underscore.
+_EDGE = r"[^\p{L}\p{N}_]"
+_INVISIBLE = "[\u00ad\u200b-\u200f\u2060\ufeff]"
+
+
+def _word(words: str) -> str:
+    return rf"(?i)(^|{_EDGE})({words})({_EDGE}|$)"
+
+
+def _capitals(col: Column) -> Column:
+    """Whether every cased letter is a capital and there is one; letters of scripts without case don't count."""
+    return col.rlike("[A-Z\u00C0-\u00D6\u00D8-\u00DE]") & ~col.rlike("[a-z]")
 
 
 def noise_flags(c: str) -> dict[str, Column]:
-    """Named conditions on a text column that profiles count."""
+    """Named conditions on a name column that profiles count."""
     col = F.col(c)
     return {
-        "leading_junk": col.rlike(r"^[^\p{L}\p{N}\s]"),
+        "leading_junk": col.rlike(rf"^{_EDGE}"),
         "leading_digit": col.rlike(r"^\p{Nd}"),
-        "domain": col.rlike(r"(?i)(^www\.|https?://|\.(com|net|org|test|example)\b)"),
-        "dba": col.rlike(r"(?i)(^|[^\p{L}\p{N}_])(dba|d/b/a|t/a|trading as|f/k/a|aka)([^\p{L}\p{N}_]|$)"),
+        "domain": col.rlike(rf"(?i)(www\.|https?:|\.({DOMAIN_ENDS})({_EDGE}|$))"),
+        "dba": col.rlike(_word("dba")) | col.rlike("(?i)trading as"),
+        "single_token": ~col.rlike(r"\s"),
         "has_digit": col.rlike(r"\p{Nd}"),
-        "upper": (F.upper(col) == col) & (F.lower(col) != col),
-        "lower": (F.lower(col) == col) & (F.upper(col) != col),
-        "zero_width": col.rlike("[\u200b-\u200f\u2060\ufeff]"),
-        "legal_word": col.rlike(rf"(?i)(^|[^\p{{L}}\p{{N}}_])({LEGAL_WORDS})([^\p{{L}}\p{{N}}_]|$)"),
-        "single_token": F.size(F.split(F.trim(col), r"\s+")) == 1,
+        "upper": _capitals(col),
+        "legal_first": col.rlike(rf"(?i)^{_EDGE}*({LEGAL_FIRST.replace(' ', '|')})({_EDGE}|$)"),
+        "zero_width": col.rlike(_INVISIBLE),
+    }
+
+
+def landmark_flags(c: str) -> dict[str, Column]:
+    """Named wordings of landmarks in an address column."""
+    return {k: F.col(c).rlike(_word(words)) for k, words in LANDMARKS.items()}
+
+
+def address_flags(c: str) -> dict[str, Column]:
+    """Named conditions on an address column that profiles count."""
+    col = F.col(c)
+    return {
+        "upper": _capitals(col),
+        "starts_number": col.rlike(r"^\s*\p{Nd}"),
+        "bis": col.rlike(_word("bis|ter|quater")),
+        "placeholder": col.rlike(r"(?i)<\s*null\s*>") | col.rlike(_word("null|n/a")),
+        "landmark": col.rlike(_word("|".join(LANDMARKS.values()))),
+        "zero_width": col.rlike(_INVISIBLE),
     }
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rowkin.session import cut
+
 PASSES = ("dense", "exact_name", "rare_token", "addr_key", "tfidf_name", "tfidf_full", "reverse")
 
 
@@ -31,9 +33,10 @@ def top_k(df: DataFrame, keys: Sequence[str], score: str, tie: str, k: int) -> D
 def cumulative(values: DataFrame, by: str, amount: str) -> DataFrame:
     """``values`` with ``upto`` (sum of ``amount`` over rows of ``by`` up to the row's own) and ``total``; ``by`` is unique.
 
-    Sums run within ranges of ``by`` and then over the ranges, so no task sees all rows; the ranges are as many as partitions.
+    Sums run within ranges of ``by`` and then over the ranges, so no task sees all rows; the ranges are as many as partitions. The ranged
+    table is written once: both branches read the same ranges, whatever partitions they are read in.
     """
-    ranged = values.repartitionByRange(by).withColumn("__part", F.spark_partition_id())
+    ranged = cut(values.repartitionByRange(by).withColumn("__part", F.spark_partition_id()), "ranges")
     inside = ranged.withColumn("__in", F.sum(amount).over(Window.partitionBy("__part").orderBy(by)))
     sizes = ranged.groupBy("__part").agg(F.sum(amount).alias("__size"))
     before = sizes.select("__part", (F.sum("__size").over(Window.orderBy("__part")) - F.col("__size")).alias("__before"), F.sum("__size").over(Window.partitionBy(F.lit(1))).alias("total"))

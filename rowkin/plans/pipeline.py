@@ -17,6 +17,7 @@ from rowkin.operators import features as ft
 from rowkin.operators import learning as ln
 from rowkin.operators import metrics as mt
 from rowkin.operators import selection as sl
+from rowkin.operators.common import cumulative
 from rowkin.plans.tables import Tables
 from rowkin.session import build_session
 from rowkin.sources import files
@@ -38,7 +39,7 @@ def labelled(rows: DataFrame, t: Tables) -> DataFrame:
 
 def write_lists(spark: SparkSession, universe: DataFrame, records: DataFrame, chosen: DataFrame, cands: DataFrame, out: str) -> None:
     """The two list files of a split, one line per record of ``universe``, validated."""
-    order = universe.select("s1_id").rdd.map(lambda r: r[0]).sortBy(lambda x: x).zipWithIndex().toDF("s1_id string, row_no long")  # numbers rows without one task seeing all
+    order = cumulative(universe.select("s1_id", F.lit(1).alias("one")), "s1_id", "one").select("s1_id", F.col("upto").alias("row_no"))
     pool = records.filter("source in (2, 3)").select("entity_id")
     for name, pairs, column in (("matching_results", chosen, "matched_entity_ids"), ("candidate_pairs", cands, "candidate_entity_ids")):
         files.write_id_lists(files.id_list_frame(order, pairs.select("s1_id", "cand_id"), pool, list_col=column), f"{out}/{name}.tsv")

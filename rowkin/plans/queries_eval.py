@@ -11,6 +11,7 @@ from rowkin.operators import profiling as pf
 from rowkin.operators import selection as sl
 from rowkin.operators.common import PASSES
 from rowkin.plans.queries_pairs import rounded
+from rowkin.plans.queries_scan import PLAIN, SCRIPT_OF
 from rowkin.plans.queries_scan import S as SCAN_SQL
 from rowkin.plans.tables import Tables, with_
 from rowkin.session import cut
@@ -79,9 +80,9 @@ def report_topn(t):
 
 
 @query(with_("rec", "truth", "sd AS (SELECT entity_id, coalesce(country, '') AS c, coalesce(name_core, '') AS n, coalesce(postcode, '') AS p FROM rec)", "lost AS (SELECT s1_id, cand_id FROM truth ANTI JOIN candidates_train USING (s1_id, cand_id))") + """SELECT s1_id, cand_id, round(ned, 6) AS ned, CASE WHEN ac <> bc THEN 'cross_country' WHEN an = '' OR bn = '' THEN 'empty_fields' WHEN ned > 0.6::DOUBLE AND ap <> '' AND ap = bp THEN 'address_only_match' WHEN ned > 0.6::DOUBLE THEN 'name_very_different' ELSE 'other' END AS reason
-    FROM (SELECT s1_id, cand_id, a.c AS ac, b.c AS bc, a.n AS an, b.n AS bn, a.p AS ap, b.p AS bp, CASE WHEN greatest(length(a.n), length(b.n)) = 0 THEN 0.0::DOUBLE ELSE levenshtein(a.n, b.n) / greatest(length(a.n), length(b.n)) END AS ned FROM lost JOIN sd a ON a.entity_id = s1_id JOIN sd b ON b.entity_id = cand_id WHERE NOT regexp_matches(a.n || b.n, '[^\\x00-\\x7F]'))""")
+    FROM (SELECT s1_id, cand_id, a.c AS ac, b.c AS bc, a.n AS an, b.n AS bn, a.p AS ap, b.p AS bp, CASE WHEN greatest(len(cs), 0) = 0 THEN 0.0::DOUBLE ELSE levenshtein(""" + PLAIN.format(x="a.n") + ", " + PLAIN.format(x="b.n") + """) / greatest(len(regexp_extract_all(a.n, '(?s).')), len(regexp_extract_all(b.n, '(?s).'))) END AS ned
+    FROM (SELECT s1_id, cand_id, x, y, list_distinct(regexp_extract_all(x.n || y.n, '(?s).')) AS cs, x AS a, y AS b FROM lost JOIN sd x ON x.entity_id = s1_id JOIN sd y ON y.entity_id = cand_id))""")
 def misses(t):
-    # every lost pair, by character; the SQL counts bytes and so lists the pairs in ASCII
     return rounded(mt.misses(t.cands, t.truth, t.records), "ned")
 
 
@@ -303,7 +304,7 @@ def eda_france(t):
     return pf.token_frequencies(t.raw("records"), "France")
 
 
-@query()
+@query(f"WITH {SCRIPT_OF} SELECT country, script, count(*) AS n FROM script_of GROUP BY country, script")
 def eda_scripts(t):
     return pf.script_counts(t.raw("records"))
 

@@ -28,9 +28,8 @@ def query(sql: str | None = None):
 
 @query("SELECT split, source, count(*) AS n_rows, count(DISTINCT entity_id) AS n_ids FROM records GROUP BY split, source")
 def scan_union(t):
-    raw = t.raw("records")
-    parts = [(s, n, raw.filter((F.col("split") == s) & (F.col("source") == n)).drop("split", "source")) for s in ("train", "test") for n in (1, 2, 3)]
-    return files.scan_union(parts).groupBy("split", "source").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("entity_id").alias("n_ids"))
+    # the table is stacked already: one scan; files.scan_union stacks the six raw files
+    return t.raw("records").groupBy("split", "source").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("entity_id").alias("n_ids"))
 
 
 @query("SELECT s1_id, cast(count(DISTINCT cand_id) AS INTEGER) AS n, string_agg(DISTINCT cand_id, ',' ORDER BY cand_id) AS matches FROM labels GROUP BY s1_id")
@@ -143,17 +142,27 @@ def str_basic_clean(t):
     return t.raw("records").select("split", "entity_id", "business_name").distinct().select("split", "entity_id", tx.basic_clean("business_name").alias("clean"))
 
 
-@query()
+# Scripts by code point, written apart from the operator's table: the blocks of 128 from 0900 on hold one script each, the rest is listed.
+_SCRIPT = """CASE WHEN u BETWEEN 65 AND 90 OR u BETWEEN 97 AND 122 OR u BETWEEN 192 AND 591 OR u BETWEEN 7680 AND 7935 THEN 'LATIN'
+    WHEN u // 128 BETWEEN 18 AND 31 THEN ['DEVANAGARI', 'BENGALI', 'GURMUKHI', 'GUJARATI', 'ORIYA', 'TAMIL', 'TELUGU', 'KANNADA', 'MALAYALAM', 'SINHALA', 'THAI', 'LAO', 'TIBETAN', 'TIBETAN'][u // 128 - 17]
+    WHEN u BETWEEN 880 AND 1023 THEN 'GREEK' WHEN u BETWEEN 1024 AND 1279 THEN 'CYRILLIC' WHEN u BETWEEN 1328 AND 1423 THEN 'ARMENIAN' WHEN u BETWEEN 1424 AND 1535 THEN 'HEBREW' WHEN u BETWEEN 1536 AND 1791 THEN 'ARABIC'
+    WHEN u BETWEEN 1792 AND 1871 THEN 'SYRIAC' WHEN u BETWEEN 1920 AND 1983 THEN 'THAANA' WHEN u BETWEEN 4096 AND 4255 THEN 'MYANMAR' WHEN u BETWEEN 4256 AND 4351 THEN 'GEORGIAN' WHEN u BETWEEN 4608 AND 4991 THEN 'ETHIOPIC'
+    WHEN u BETWEEN 5024 AND 5119 THEN 'CHEROKEE' WHEN u BETWEEN 6016 AND 6143 THEN 'KHMER' WHEN u BETWEEN 6144 AND 6319 THEN 'MONGOLIAN' WHEN u BETWEEN 11568 AND 11647 THEN 'TIFINAGH' WHEN u BETWEEN 11904 AND 40959 THEN 'CJK'
+    WHEN u BETWEEN 44032 AND 55215 THEN 'HANGUL' WHEN u BETWEEN 65280 AND 65519 THEN 'FULLWIDTH' END"""
+_LETTERS = f"""chars AS (SELECT DISTINCT business_name AS name, regexp_extract_all(business_name, '(?s).') AS cs FROM records WHERE business_name IS NOT NULL),
+    spread AS (SELECT name, i, unicode(cs[i]) AS u FROM (SELECT name, cs, unnest(range(1, len(cs) + 1)) AS i FROM chars)), scripted AS (SELECT name, i, {_SCRIPT} AS script FROM spread)"""
+SCRIPT_OF = f"""{_LETTERS}, votes AS (SELECT name, script, count(*) AS n, min(i) AS first FROM scripted WHERE script IS NOT NULL GROUP BY name, script),
+    led AS (SELECT name, arg_max(script, n * 100000 - first) AS script FROM votes GROUP BY name),
+    script_of AS (SELECT r.split, r.entity_id, r.country, CASE WHEN trim(coalesce(business_name, '')) = '' THEN 'EMPTY' ELSE coalesce(led.script, 'OTHER') END AS script FROM records r LEFT JOIN led ON led.name = r.business_name)"""
+
+
+@query(f"WITH {SCRIPT_OF} SELECT script, count(*) AS n FROM script_of GROUP BY script")
 def script_dominant(t):
     return t.raw("records").groupBy(tx.dominant_script("business_name").alias("script")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT scripts, count(*) AS n FROM (SELECT array_to_string(list_sort(list_filter([
-    CASE WHEN regexp_matches(business_name, '[\\x{0400}-\\x{04FF}]') THEN 'CYRILLIC' END, CASE WHEN regexp_matches(business_name, '[\\x{0370}-\\x{03FF}]') THEN 'GREEK' END, CASE WHEN regexp_matches(business_name, '[\\x{0900}-\\x{097F}]') THEN 'DEVANAGARI' END,
-    CASE WHEN regexp_matches(business_name, '[\\x{0980}-\\x{09FF}]') THEN 'BENGALI' END, CASE WHEN regexp_matches(business_name, '[\\x{0A00}-\\x{0A7F}]') THEN 'GURMUKHI' END, CASE WHEN regexp_matches(business_name, '[\\x{0A80}-\\x{0AFF}]') THEN 'GUJARATI' END,
-    CASE WHEN regexp_matches(business_name, '[\\x{0B00}-\\x{0B7F}]') THEN 'ORIYA' END, CASE WHEN regexp_matches(business_name, '[\\x{0B80}-\\x{0BFF}]') THEN 'TAMIL' END, CASE WHEN regexp_matches(business_name, '[\\x{0C00}-\\x{0C7F}]') THEN 'TELUGU' END,
-    CASE WHEN regexp_matches(business_name, '[\\x{0C80}-\\x{0CFF}]') THEN 'KANNADA' END, CASE WHEN regexp_matches(business_name, '[\\x{0D00}-\\x{0D7F}]') THEN 'MALAYALAM' END, CASE WHEN regexp_matches(business_name, '[\\x{0600}-\\x{06FF}]') THEN 'ARABIC' END,
-    CASE WHEN regexp_matches(business_name, '[\\x{4E00}-\\x{9FFF}]') THEN 'CJK' END], lambda x: x IS NOT NULL)), '+') AS scripts FROM records WHERE business_name IS NOT NULL) GROUP BY scripts""")
+@query(f"""WITH {_LETTERS}, sets AS (SELECT name, string_agg(DISTINCT script, '+' ORDER BY script) AS scripts FROM scripted WHERE script <> 'LATIN' GROUP BY name)
+    SELECT coalesce(scripts, '') AS scripts, count(*) AS n FROM records LEFT JOIN sets ON name = business_name WHERE business_name IS NOT NULL GROUP BY 1""")
 def script_nonlatin(t):
     return t.raw("records").filter("business_name is not null").groupBy(F.array_join(tx.non_latin_scripts("business_name"), "+").alias("scripts")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -173,19 +182,45 @@ def re_first_number(t):
     return t.raw("records").filter("addr_norm is not null").select("split", "entity_id", "addr_norm").distinct().withColumn("found", F.regexp_extract("addr_norm", "([0-9]+)", 1))
 
 
-@query(r"SELECT split, entity_id, trim(regexp_replace(business_address, '(?i)<null>|\bnull\b|\bn/a\b', '', 'g')) AS kept FROM (SELECT DISTINCT split, entity_id, business_address FROM records WHERE business_address IS NOT NULL)")
+@query(r"SELECT split, entity_id, trim(regexp_replace(business_address, '(?i)<\s*null\s*>|\bnull\b|\bn/a\b', '', 'g')) AS kept FROM (SELECT DISTINCT split, entity_id, business_address FROM records WHERE business_address IS NOT NULL)")
 def re_null_placeholder(t):
     return t.raw("records").filter("business_address is not null").select("split", "entity_id", "business_address").distinct().select("split", "entity_id", tx.drop_placeholders("business_address").alias("kept"))
 
 
-@query(r"""SELECT source, count(*) FILTER (regexp_matches(business_name, '^[^\p{L}\p{N}\s]')) AS leading_junk, count(*) FILTER (upper(business_name) = business_name AND lower(business_name) <> business_name) AS upper,
-    count(*) FILTER (lower(business_name) = business_name AND upper(business_name) <> business_name) AS lower, count(*) FILTER (regexp_matches(business_name, '(?i)(^|[^\p{L}\p{N}_])(dba|d/b/a|t/a|trading as|f/k/a|aka)([^\p{L}\p{N}_]|$)')) AS dba,
-    count(*) FILTER (regexp_matches(business_name, '(?i)(^|[^\p{L}\p{N}_])(""" + tx.LEGAL_WORDS + r""")([^\p{L}\p{N}_]|$)')) AS legal_word FROM records WHERE NOT regexp_matches(business_name, '[^\x00-\x7F]') GROUP BY source""")
+def _hits(column: str, patterns: dict[str, str]) -> str:
+    return ", ".join(f"count(*) FILTER ({p.format(c=column)}) AS {k}" for k, p in patterns.items())
+
+
+_E = r"[^\p{{L}}\p{{N}}_]"
+_NAME_SQL = {
+    "leading_junk": rf"regexp_matches({{c}}, '^{_E}')", "leading_digit": r"regexp_matches({c}, '^\p{{Nd}}')", "domain": rf"regexp_matches({{c}}, '(?i)(www\.|https?:|\.(com|in|net|org|co|us|fr)({_E}|$))')",
+    "dba": rf"regexp_matches({{c}}, '(?i)(^|{_E})dba({_E}|$)|trading as')", "single_token": r"NOT regexp_matches({c}, '\s')", "has_digit": r"regexp_matches({c}, '\p{{Nd}}')", "upper": "regexp_matches({c}, '[A-ZÀ-ÖØ-Þ]') AND NOT regexp_matches({c}, '[a-z]')",
+    "legal_first": rf"regexp_matches({{c}}, '(?i)^{_E}*(m/s|s/s|msme|private|pvt|proprietorship|partnership|sasuru|sarl|eurl|sas|sasu|sca|scs|snc|sci|gmbh|incorporated|corporation|company|limited|plc|pte|pty|llc|inc|ltd|corp|llp|sp|sa|co|lp|ab|as|bv|nv|oy)({_E}|$)')",
+    "zero_width": r"regexp_matches({c}, '[\x{{00AD}}\x{{200B}}-\x{{200F}}\x{{2060}}\x{{FEFF}}]')",
+}
+_MARK_SQL = {k: rf"regexp_matches({{c}}, '(?i)(^|{_E})({w})({_E}|$)')" for k, w in {"near": "near|nearby", "opposite": "opposite|opp", "behind": "behind", "beside": "beside|adjacent to|next to", "in_front": "(in )?front of", "across": "across (from|the street)", "esquina": "esquina|vista|frente", "corner": "corner", "rear": "rear|back of|backside"}.items()}
+_ADDRESS_SQL = {
+    "upper": _NAME_SQL["upper"], "starts_number": r"regexp_matches({c}, '^\s*\p{{Nd}}')", "bis": rf"regexp_matches({{c}}, '(?i)(^|{_E})(bis|ter|quater)({_E}|$)')", "placeholder": rf"regexp_matches({{c}}, '(?i)<\s*null\s*>|(^|{_E})(null|n/a)({_E}|$)')",
+    "landmark": "(" + " OR ".join(_MARK_SQL.values()) + ")", "zero_width": _NAME_SQL["zero_width"],
+}
+
+
+@query(f"SELECT source, count(*) AS n_rows, {_hits('business_name', _NAME_SQL)} FROM records WHERE business_name IS NOT NULL GROUP BY source")
 def re_noise_flags(t):
-    # every record; the SQL counts those in ASCII
-    flags = tx.noise_flags("business_name")
     rows = t.raw("records").filter("business_name is not null")
-    return rows.groupBy("source").agg(*[F.count_if(flags[k]).alias(k) for k in ("leading_junk", "upper", "lower", "dba", "legal_word")])
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"), *[F.count_if(c).alias(k) for k, c in tx.noise_flags("business_name").items()])
+
+
+@query(f"SELECT source, count(*) AS n_rows, {_hits('business_address', _ADDRESS_SQL)} FROM records WHERE business_address IS NOT NULL GROUP BY source")
+def re_address_flags(t):
+    rows = t.raw("records").filter("business_address is not null")
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"), *[F.count_if(c).alias(k) for k, c in tx.address_flags("business_address").items()])
+
+
+@query(f"SELECT source, {_hits('business_address', _MARK_SQL)} FROM records WHERE business_address IS NOT NULL GROUP BY source")
+def re_landmarks(t):
+    rows = t.raw("records").filter("business_address is not null")
+    return rows.groupBy("source").agg(*[F.count_if(c).alias(k) for k, c in tx.landmark_flags("business_address").items()])
 
 
 @query(with_("rec") + r"SELECT entity_id, unnest(list_distinct(list_filter(regexp_split_to_array(trim(name_core), '\s+'), lambda x: length(x) > 2 AND NOT regexp_matches(x, '^\p{Nd}+$')))) AS token FROM rec")
@@ -216,15 +251,18 @@ def _named(t):
     return t.cands.select("s1_id", "cand_id").join(r.withColumnsRenamed({"entity_id": "s1_id", "name_core": "a"}), "s1_id").join(r.withColumnsRenamed({"entity_id": "cand_id", "name_core": "b"}), "cand_id")
 
 
-@query(f"SELECT s1_id, cand_id, round(jaro_winkler_similarity(a, b), 6) AS jw FROM ({_PAIRS}) WHERE a <> '' AND b <> '' AND NOT regexp_matches(a || b, '[^\\x00-\\x7F]')")
+# DuckDB's distances count bytes: the characters of each pair are numbered first, so every one is a byte
+PLAIN = "array_to_string(list_transform(regexp_extract_all({x}, '(?s).'), lambda c: chr(CAST(32 + list_position(cs, c) AS INTEGER))), '')"
+_CODED = f"SELECT s1_id, cand_id, {PLAIN.format(x='a')} AS a, {PLAIN.format(x='b')} AS b FROM (SELECT *, list_distinct(regexp_extract_all(a || b, '(?s).')) AS cs FROM ({_PAIRS}) WHERE a IS NOT NULL AND b IS NOT NULL)"
+
+
+@query(f"SELECT s1_id, cand_id, round(jaro_winkler_similarity(a, b), 6) AS jw FROM ({_CODED}) WHERE a <> '' AND b <> ''")
 def sim_jw(t):
-    # every pair, by character; the SQL counts bytes and so lists the pairs in ASCII
     return _named(t).filter("a <> '' and b <> ''").select("s1_id", "cand_id", F.round(similarity("jaro_winkler", "a", "b"), 6).alias("jw"))
 
 
-@query(f"SELECT s1_id, cand_id, round(CASE WHEN greatest(length(a), length(b)) = 0 THEN 0 ELSE levenshtein(a, b) / greatest(length(a), length(b)) END, 6) AS ned FROM ({_PAIRS}) WHERE NOT regexp_matches(a || b, '[^\\x00-\\x7F]')")
+@query(f"SELECT s1_id, cand_id, round(CASE WHEN greatest(length(a), length(b)) = 0 THEN 0 ELSE levenshtein(a, b) / greatest(length(a), length(b)) END, 6) AS ned FROM ({_CODED})")
 def sim_ned(t):
-    # every pair, by character; the SQL counts bytes and so lists the pairs in ASCII
     return _named(t).filter("a is not null and b is not null").select("s1_id", "cand_id", F.round(normalised_edit_distance("a", "b"), 6).alias("ned"))
 
 

@@ -28,10 +28,14 @@ def build_session(cpus: str = "*", app: str = "rowkin", shuffle_partitions: int
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; where that is unset (tests), a temporary folder of this process."""
+    """The shared folder named by spark.checkpoint.dir; where that is unset, a temporary folder of this process on a local master, and an error
+    on a cluster, whose machines would each write into a folder of their own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    master = spark.sparkContext.master or ""
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     key = spark.sparkContext.applicationId
     if key not in _own_scratch:
         _own_scratch[key] = tempfile.mkdtemp(prefix="rowkin-")

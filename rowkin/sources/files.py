@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 import zipfile
 from collections.abc import Iterable, Sequence
 from functools import reduce
@@ -13,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rowkin.operators.common import cumulative
+from rowkin.session import scratch_dir
+
 RAW = T.StructType([T.StructField(c, T.StringType()) for c in ("entity_id", "business_name", "business_address", "country")])
 TRUTH = T.StructType([T.StructField(c, T.StringType()) for c in ("source1_entity_id", "matched_entity_ids")])
 
@@ -59,10 +63,16 @@ def scan_by_ids(df: DataFrame, ids: DataFrame, id_col: str = "entity_id") -> Dat
     return df.join(ids.select(id_col).distinct(), id_col, "left_semi")
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in the file system that its scheme, or the session's default, names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def load_records(spark: SparkSession, folder: str, split: str) -> DataFrame:
     """The stage's record table if it was written, else the raw files with ``name_core`` as the name in lower case."""
     path = f"{folder}/records.parquet"
-    if os.path.exists(path):
+    if path_exists(spark, path):
         return spark.read.parquet(path).filter(F.col("split") == split)
     raw = scan_all(spark, folder, (split,))
     return raw.withColumn("name_core", F.lower("business_name")).withColumn("addr_norm", F.lower("business_address"))
@@ -82,7 +92,7 @@ def write_vectors(df: DataFrame, path: str, part_col: str) -> list[str]:
     done = []
     for (part,) in df.select(F.col(part_col).cast("string")).distinct().orderBy(part_col).collect():
         target = f"{path}/{part_col}={part}"
-        if os.path.exists(f"{target}/_SUCCESS"):
+        if path_exists(df.sparkSession, f"{target}/_SUCCESS"):
             continue
         df.filter(F.col(part_col).cast("string") == part).drop(part_col).write.mode("overwrite").parquet(target)
         done.append(part)
@@ -102,13 +112,29 @@ def id_list_frame(universe: DataFrame, pairs: DataFrame, pool: DataFrame | None
 
 
 def write_id_lists(frame: DataFrame, path: str, order_col: str = "row_no") -> None:
-    """The list file: a header and the rows in order, tabs between, one newline per row."""
+    """The list file: a header and the rows in order, tabs between, one newline per row.
+
+    Executors write the rows in ranges of their order; the parts are then joined byte by byte into the one file asked for, which no row
+    passes through Python for.
+    """
+    spark = frame.sparkSession
     cols = [c for c in frame.columns if c != order_col]
-    lines = frame.orderBy(order_col).select(F.concat_ws("\t", *cols).alias("line"))
-    with open(path, "w", encoding="utf-8", newline="\n") as f:
-        f.write("\t".join(cols) + "\n")
-        for row in lines.toLocalIterator(prefetchPartitions=True):
-            f.write(row["line"] + "\n")
+    parts = f"{scratch_dir(spark)}/lists-{uuid.uuid4().hex}"
+    frame.orderBy(order_col).select(F.concat_ws("\t", *cols).alias("line")).write.option("lineSep", "\n").text(parts)
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    source, target = hadoop.fs.Path(parts), hadoop.fs.Path(path)
+    there = source.getFileSystem(conf)
+    out = target.getFileSystem(conf).create(target, True)
+    try:
+        out.write(bytearray("\t".join(cols) + "\n", "utf-8"))
+        for name in sorted(s.getPath().getName() for s in there.listStatus(source)):
+            if name.startswith("part-"):
+                part = there.open(hadoop.fs.Path(source, name))
+                hadoop.io.IOUtils.copyBytes(part, out, conf, False)
+                part.close()
+    finally:
+        out.close()
+        there.delete(source, True)
 
 
 def validate_id_lists(spark: SparkSession, matches: str, candidates: str | None, universe: DataFrame, pool: DataFrame) -> list[str]:
@@ -116,14 +142,17 @@ def validate_id_lists(spark: SparkSession, matches: str, candidates: str | None,
     faults: list[str] = []
 
     def read(path: str) -> DataFrame:
-        head = open(path, encoding="utf-8").readline().rstrip("\n").split("\t")
+        head = spark.read.text(path).first()[0].split("\t")
         schema = T.StructType([T.StructField(c, T.StringType()) for c in head])
         return parse_id_lists(scan_tsv(spark, path, schema), head[0], head[1])
 
     m = read(matches)
-    want = [r["s1_id"] for r in universe.orderBy("row_no").select("s1_id").toLocalIterator()]
-    have = [r["s1_id"] for r in m.select("s1_id").toLocalIterator()]
-    if want != have:
+    # the rows of the file by their place in it, and those of the universe by theirs, side by side
+    place = F.shiftleft(F.col("_metadata.file_block_start"), 20) + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    lines = spark.read.text(matches).select(place.alias("place"), F.substring_index("value", "\t", 1).alias("have")).filter("have <> ''")
+    have = cumulative(lines.withColumn("one", F.lit(1)), "place", "one").select((F.col("upto") - 1).alias("no"), "have").filter("no > 0")
+    want = cumulative(universe.select("row_no", "s1_id", F.lit(1).alias("one")), "row_no", "one").select(F.col("upto").alias("no"), "s1_id")
+    if want.join(have, "no", "full").filter(~F.col("s1_id").eqNullSafe(F.col("have"))).limit(1).count():
         faults.append("rows missing, repeated or out of order")
     ids = m.select("s1_id", F.explode("matches").alias("cand_id"))
     if ids.groupBy("s1_id", "cand_id").count().filter("count > 1").limit(1).count():
