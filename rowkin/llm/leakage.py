@@ -24,8 +24,8 @@ from rowkin.session import cut
 #: Places of a template window.
 WINDOW = 5
 #: A word in at least so many items, and in this share of them, is part of their common wording; others are names. The share bounds the
-#: number of common words by 40 times the mean number of words of an item, however many items there are.
-COMMON_ITEMS, COMMON_SHARE = 3, 1 / 40
+#: number of common words by 60 times the mean number of words of an item, however many items there are.
+COMMON_ITEMS, COMMON_SHARE = 3, 1 / 60
 #: A sentence in front of at least so many items is an instruction.
 INSTRUCTION_ITEMS = 3
 #: Share of an item's words that must be reproduced.
