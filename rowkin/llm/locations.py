@@ -189,7 +189,7 @@ def address_cost(a: tuple, b: tuple) -> float:
     cost = street_cost(a[1], b[1]) + town
     if cost > MOST or town > 1 and not same_state(a[5], b[5]):
         return 99.0
-    post = post_cost(a[4], b[4])
+    post = min(post_cost(x, y) for x in a[4].split(" ") for y in b[4].split(" ")) if " " in a[4] or " " in b[4] else post_cost(a[4], b[4])
     if a[3] and b[3]:
         # towns that agree need no postcode; different ones need the very same
         return cost + (0 if cost < 4 else post and 99)
@@ -233,9 +233,9 @@ def _index_keys(core: pd.Series, town: pd.Series, post: pd.Series) -> pd.Series:
     """Keys of forms with a town: the postcode and the set of the town's sounds, each with every deletion of the street; the beginning and the
     end of the town with the street as heard. So an error in the street or in the town, or one in each if the postcode agrees, leaves a key."""
     out = []
-    for c, t, p in zip(core, town, post, strict=True):
+    for c, t, posts in zip(core, town, post, strict=True):
         begins, ends, sounds = town_blocks(t)
-        blocks = (sounds, *(("P:" + p.lstrip("0"),) if p else ()))
+        blocks = (sounds, *sorted({"P:" + p.lstrip("0") for p in posts.split(" ") if p}))
         streets = street_keys(c)
         plain = heard(romanise(c.replace(" ", "")))
         out.append([b + "/" + k for b in blocks for k in streets] + [begins + "/" + plain, ends + "/" + plain])
@@ -312,6 +312,9 @@ def given_homes(loose: DataFrame, homes: DataFrame, forms: DataFrame) -> DataFra
     posted = near.groupBy("building").agg(F.max(F.col("post") != "").alias("posted"))
     near = near.join(posted, "building")
 
+    # a building's forms by each of their postcodes
+    near = near.withColumn("post", F.explode(F.split("post", " ")))
+
     def keyed(df: DataFrame, post: Column, kind: str, *keep: str) -> DataFrame:
         return df.select("form", *keep, "anchor", F.explode(area("core", post)).alias("k")).select("form", *keep, F.xxhash64("anchor", F.lit(kind), "k").alias("key"))
 
@@ -319,7 +322,7 @@ def given_homes(loose: DataFrame, homes: DataFrame, forms: DataFrame) -> DataFra
     wanted = keyed(loose.filter(post != ""), post, "post").unionByName(keyed(loose.filter(post != ""), none, "unposted")).unionByName(keyed(loose.filter(post == ""), none, "any"))
     wanted = cut(wanted, "loose")
     spread = keyed(near.filter(post != ""), post, "post", "building").unionByName(keyed(near.filter(~F.col("posted")), none, "unposted", "building")).unionByName(keyed(near, none, "any", "building"))
-    spread = spread.join(wanted.select("key").distinct(), "key", "left_semi").join(forms.select("form", "prefix", "core", "kind", "state", "post"), "form")
+    spread = spread.distinct().join(wanted.select("key").distinct(), "key", "left_semi").join(forms.select("form", "prefix", "core", "kind", "state", "post"), "form")
     offers = spread.groupBy("key", "prefix", "core", "kind", "state", "post").agg(F.min("form").alias("b"), F.min("building").alias("first"), F.max("building").alias("last"))
     met = cut(wanted.join(offers, "key").select(F.col("form").alias("a"), "b", "first", "last").distinct(), "met")
     costs = with_costs(met.select("a", "b").distinct(), forms).filter(F.col("cost") <= MOST).join(met, ["a", "b"])
@@ -330,9 +333,11 @@ def given_homes(loose: DataFrame, homes: DataFrame, forms: DataFrame) -> DataFra
 
 def buildings(addresses: DataFrame) -> DataFrame:
     """``(entity_id, building)`` of every record of ``addresses`` (as ``parsed``) whose address names a building or landmark and a street."""
-    parts = ["anchor", "prefix", "core", "kind", "town", "post", "state"]
-    named = addresses.filter("anchor <> '' and core <> ''").withColumn("form", F.xxhash64(*parts))
-    forms = cut(named.groupBy("form", *parts).agg(F.count(F.lit(1)).alias("n")), "forms")
+    # addresses alike in all but postcode and state are one form where they have a town, since towns that agree need neither
+    named = addresses.filter("anchor <> '' and core <> ''").withColumn("form", F.xxhash64("anchor", "prefix", "core", "kind", "town", F.when(F.col("town") == "", F.concat_ws("|", "post", "state")).otherwise("")))
+    parts = ["anchor", "prefix", "core", "kind", "town"]
+    posts = F.array_join(F.array_sort(F.array_remove(F.collect_set("post"), "")), " ")
+    forms = cut(named.groupBy("form", *parts).agg(F.count(F.lit(1)).alias("n"), posts.alias("post"), F.max("state").alias("state")), "forms")
     placed, loose = forms.filter("town <> ''"), forms.filter("town = ''")
     keys = pandas_udf(_index_keys, "array<string>")
     spread = cut(placed.select("form", "n", "anchor", F.explode(keys("core", "town", "post")).alias("k")).select("form", "n", F.xxhash64("anchor", "k").alias("key")), "spread")
