@@ -264,7 +264,7 @@ def with_costs(pairs: DataFrame, forms: DataFrame) -> DataFrame:
     """``(a, b, cost)`` of pairs of forms."""
     parts = ["prefix", "core", "kind", "town", "post", "state"]
     left, right = forms.select(F.col("form").alias("a"), *[F.col(c).alias(f"{c}_a") for c in parts]), forms.select(F.col("form").alias("b"), *[F.col(c).alias(f"{c}_b") for c in parts])
-    cost = pandas_udf(_costs, "double")
+    cost = pandas_udf(_costs, "double").asNondeterministic()  # else a filter on the cost has it computed twice
     return pairs.join(left, "a").join(right, "b").select("a", "b", cost(*[f"{c}_a" for c in parts], *[f"{c}_b" for c in parts]).alias("cost"))
 
 
