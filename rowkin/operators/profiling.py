@@ -12,7 +12,7 @@ LEVELS = (0.01, 0.25, 0.5, 0.75, 0.95, 0.99)
 
 
 def profile(records: DataFrame) -> DataFrame:
-    """One row per split and source: rows, empty fields, length percentiles, tokens per name and counts of every noise flag, in one aggregation."""
+    """One row per split and source: rows, empty fields, length percentiles, tokens per name and counts of every noise flag (and of names with any), in one aggregation."""
     name, addr = F.coalesce("business_name", F.lit("")), F.coalesce("business_address", F.lit(""))
     rows = records.select("split", "source", name.alias("name"), addr.alias("addr"))
     aggs = [F.count(F.lit(1)).alias("n_rows"), F.count_if(F.trim("name") == "").alias("empty_name"), F.count_if(F.trim("addr") == "").alias("empty_addr"), F.avg(F.size(F.split(F.trim("name"), r"\s+"))).alias("mean_tokens"), F.max(F.length("name")).alias("max_len")]
@@ -38,9 +38,9 @@ def first_tokens(records: DataFrame, top: int = 30) -> DataFrame:
     return counts.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "token"))).filter(F.col("place") <= top)
 
 
-def token_frequencies(records: DataFrame, country: str, top: int = 50) -> DataFrame:
-    """``(token, n)``: the most frequent words of a country's names."""
-    tokens = records.filter(F.col("country") == country).select(F.explode(word_tokens("business_name")).alias("token"))
+def token_frequencies(records: DataFrame, country: str, top: int = 50, column: str = "business_name") -> DataFrame:
+    """``(token, n)``: the most frequent words of a country's names or addresses."""
+    tokens = records.filter(F.col("country") == country).select(F.explode(word_tokens(column)).alias("token"))
     return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "token").limit(top)
 
 

@@ -48,7 +48,7 @@ def write_lists(spark: SparkSession, universe: DataFrame, records: DataFrame, ch
         raise ValueError(f"result files: {faults}")
 
 
-def run(spark: SparkSession, tables: str, out: str, rounds: int = 10) -> dict:
+def run(spark: SparkSession, tables: str, out: str, rounds: int = 200) -> dict:
     """Candidates, features, out-of-fold scores, calibration, threshold and match lists; every stage is written below ``out``, and the lists of split test below ``out``/test."""
     t = Tables(spark, tables)
     neighbours = t.cands.filter("blk_dense").select("s1_id", "cand_id", F.col("bs_dense").alias("score"))
@@ -58,7 +58,8 @@ def run(spark: SparkSession, tables: str, out: str, rounds: int = 10) -> dict:
     files.write_stage(rows, f"{out}/features")
     rows = labelled(spark.read.parquet(f"{out}/features"), t)
     folds = [r[0] for r in t.universe.select("fold").distinct().orderBy("fold").collect()]
-    oof, _ = ln.train_boosted(rows, names, folds, rounds=rounds)
+    oof, _, found = ln.train_boosted(rows, names, folds, most=rounds)
+    files.save_json(f"{out}/meta.json", found)
     files.write_stage(ln.calibrate_oof(oof, t.truth, folds).select("s1_id", "cand_id", "fold", F.col("prob_calibrated").alias("prob")), f"{out}/preds")
     preds = spark.read.parquet(f"{out}/preds")
     best = sl.best_threshold(sl.threshold_curve(preds, t.truth, t.universe, GRID)).first()
@@ -69,7 +70,7 @@ def run(spark: SparkSession, tables: str, out: str, rounds: int = 10) -> dict:
     return params
 
 
-def submit(spark: SparkSession, tables: str, out: str, rounds: int = 10) -> dict:
+def submit(spark: SparkSession, tables: str, out: str, rounds: int = 200) -> dict:
     """Match lists of every source-1 record of split test, written below ``out``.
 
     Vector neighbours are given for train only, so the model, its calibration and its threshold come from train candidates made without
@@ -82,7 +83,8 @@ def submit(spark: SparkSession, tables: str, out: str, rounds: int = 10) -> dict
         rows, names = pair_inputs(spark.read.parquet(f"{out}/candidates_{t.split}"), t.records)
         files.write_stage(rows, f"{out}/features_{t.split}")
     folds = [r[0] for r in train.universe.select("fold").distinct().orderBy("fold").collect()]
-    oof, model = ln.train_boosted(labelled(spark.read.parquet(f"{out}/features_train"), train), names, folds, rounds=rounds)
+    oof, model, found = ln.train_boosted(labelled(spark.read.parquet(f"{out}/features_train"), train), names, folds, most=rounds)
+    files.save_json(f"{out}/meta.json", found)
     files.write_stage(oof, f"{out}/oof")
     oof = spark.read.parquet(f"{out}/oof")
     best = sl.best_threshold(sl.threshold_curve(ln.calibrate_oof(oof, train.truth, folds).select("s1_id", "cand_id", F.col("prob_calibrated").alias("prob")), train.truth, train.universe, GRID)).first()

@@ -11,7 +11,7 @@ from rowkin.operators import profiling as pf
 from rowkin.operators import selection as sl
 from rowkin.operators.common import PASSES
 from rowkin.plans.queries_pairs import rounded
-from rowkin.plans.queries_scan import PLAIN, SCRIPT_OF
+from rowkin.plans.queries_scan import NAME_SQL, PLAIN, SCRIPT_OF
 from rowkin.plans.queries_scan import S as SCAN_SQL
 from rowkin.plans.tables import Tables, with_
 from rowkin.session import cut
@@ -195,6 +195,35 @@ def tune_quick(t):
     return rounded(sl.best_threshold(sl.threshold_curve(t.preds, t.truth, t.universe, grid, "keep_first")), "threshold", "macro_f05")
 
 
+def _named_curve(source: str, first: str, count: int, divisor: int, step: int, name: str) -> str:
+    return f"{name} AS (WITH " + _curve(source, first, count, divisor, step) + " SELECT threshold, f FROM curve)"
+
+
+_ONE = "one AS (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY cand_id ORDER BY p DESC, s1_id) = 1)"
+_DENSE = "dn AS (SELECT s1_id, cand_id, CAST(bs_dense AS DOUBLE) AS p FROM candidates_train WHERE bs_dense IS NOT NULL QUALIFY row_number() OVER (PARTITION BY cand_id ORDER BY CAST(bs_dense AS DOUBLE) DESC, s1_id) = 1)"
+
+
+@query(with_("pr", "uni", "truth", _ONE, _DENSE, _named_curve("pr", "30", 28, 100, 2, "c1"), _named_curve("one", "30", 28, 100, 2, "c2"), _named_curve("dn", "880", 20, 1000, 5, "c3"))
+       + " UNION ALL ".join(f"SELECT '{k}' AS arm, round(threshold, 6) AS threshold, round(f, 6) AS macro_f05 FROM {c}" for k, c in (("all", "c1"), ("exclusive", "c2"), ("dense_only", "c3"))))
+def tune_quick_arms(t):
+    """The whole grid with and without exclusivity, and that of the dense score alone."""
+    grid = [(30 + 2 * i) / 100 for i in range(28)]
+    dense = t.cands.filter("bs_dense is not null").select("s1_id", "cand_id", F.col("bs_dense").cast("double").alias("prob"))
+    arms = (("all", t.preds, grid, None), ("exclusive", t.preds, grid, "keep_first"), ("dense_only", dense, [(880 + 5 * i) / 1000 for i in range(20)], "keep_first"))
+    out = None
+    for name, preds, steps, mode in arms:
+        curve = sl.threshold_curve(preds, t.truth, t.universe, steps, mode).select(F.lit(name).alias("arm"), "threshold", "macro_f05")
+        out = curve if out is None else out.unionByName(curve)
+    return rounded(out, "threshold", "macro_f05")
+
+
+@query(with_("pr", "uni", "truth", _ONE, "pset AS (SELECT s1_id, cand_id FROM one WHERE p >= 0.5::DOUBLE)", "ent") + "SELECT fold, count(*) AS n, round(avg(f), 6) AS macro_f05 FROM ent JOIN uni USING (s1_id) GROUP BY fold")
+def tune_quick_folds(t):
+    """F0.5 of each fold at one threshold."""
+    picked = sl.select_threshold(t.preds, 0.5, "keep_first")
+    return rounded(mt.entity_scores(picked, t.truth, t.universe).join(t.universe.select("s1_id", "fold"), "s1_id").groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg("f05").alias("macro_f05")), "macro_f05")
+
+
 @query(with_("pr", "uni", "truth", "one AS (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY s1_id, src ORDER BY p DESC, cand_id) = 1)", _curve("one", "30", 66, 100, 1)) + "SELECT round(threshold, 6) AS threshold, round(f, 6) AS macro_f05 FROM curve ORDER BY round(f, 12) DESC, threshold DESC LIMIT 1")
 def tune_baseline(t):
     from rowkin.operators.common import top_k
@@ -237,25 +266,42 @@ def gate(t):
     return picked.select("s1_id", "cand_id")
 
 
-@query()
+def _isotonic(rows: str, out: str) -> str:
+    """``out`` (part, p, v): the isotonic fit of y on p within each part of ``rows``, by its max-min formula."""
+    return f"""{out}_g AS (SELECT part, p, count(*) AS n, sum(y) AS s FROM {rows} GROUP BY part, p),
+    {out}_i AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY p) AS i, sum(n) OVER (PARTITION BY part ORDER BY p) AS cn, sum(s) OVER (PARTITION BY part ORDER BY p) AS cs FROM {out}_g),
+    {out}_m AS (SELECT j.part, j.i AS j, k.i AS k, min((k.cs - j.cs + j.s) / (k.cn - j.cn + j.n)) OVER (PARTITION BY j.part, j.i ORDER BY k.i DESC) AS m FROM {out}_i j JOIN {out}_i k ON k.part = j.part AND k.i >= j.i),
+    {out} AS (SELECT x.part, x.p, z.v FROM (SELECT part, k, max(m) AS v FROM {out}_m GROUP BY part, k) z JOIN {out}_i x ON x.part = z.part AND x.i = z.k)"""
+
+
+_Y = "yy AS (SELECT pr.s1_id, pr.cand_id, p, fold, CASE WHEN t.cand_id IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS y FROM pr LEFT JOIN truth t USING (s1_id, cand_id))"
+
+
+@query(with_("pr", "truth", _Y, "tr AS (SELECT f.fold AS part, yy.p, yy.y FROM (SELECT DISTINCT fold FROM yy) f JOIN yy ON yy.fold <> f.fold)", _isotonic("tr", "fit")) + """SELECT s1_id, cand_id, round(CASE WHEN lo.p IS NULL THEN hi.v WHEN hi.p IS NULL OR hi.p = lo.p THEN lo.v ELSE lo.v + (hi.v - lo.v) * (yy.p - lo.p) / (hi.p - lo.p) END, 6) AS prob_calibrated
+    FROM yy ASOF LEFT JOIN fit lo ON lo.part = yy.fold AND yy.p >= lo.p ASOF LEFT JOIN fit hi ON hi.part = yy.fold AND yy.p <= hi.p""")
 def calibrate_oof(t):
     return rounded(ln.calibrate_oof(t.preds, t.truth).select("s1_id", "cand_id", "prob_calibrated"), "prob_calibrated")
 
 
-@query()
+@query(with_("pr", "truth", _Y, "tr AS (SELECT 0 AS part, p, y FROM yy)", _isotonic("tr", "fit")) + "SELECT s1_id, cand_id, round(v, 6) AS prob FROM yy JOIN fit ON fit.p = yy.p")
 def calibrate_all(t):
     return ln.apply_calibrator(ln.fit_calibrator(t.preds, t.truth), t.preds.filter("prob is not null")).select("s1_id", "cand_id", F.round("prob", 6).alias("prob"))
 
 
 @query()
 def tune_select(t):
-    """Macro F0.5 of the methods compared: best threshold, expected F, expected F on calibrated scores."""
+    """Macro F0.5 of the methods compared: best threshold, expected F, expected F on calibrated scores, and that behind the gate; the best is marked."""
     best = sl.best_threshold(sl.threshold_curve(t.preds, t.truth, t.universe, _GRID)).select(F.lit("threshold").alias("method"), "macro_f05")
     calibrated = ln.calibrate_oof(t.preds, t.truth).select("s1_id", "cand_id", F.col("prob_calibrated").alias("prob"))
     out = best
     for name, preds in (("expected_f", t.preds), ("expected_f_calibrated", calibrated)):
         out = out.unionByName(mt.macro_f05(sl.select_expected_f(preds), t.truth, t.universe).select(F.lit(name).alias("method"), "macro_f05"))
-    return rounded(out, "macro_f05")
+    allowed, _ = ln.fit_gate(sl.gate_features(t.preds), t.universe)
+    gated = sl.select_expected_f(calibrated).join(allowed.filter("allow"), "s1_id", "left_semi")
+    out = rounded(out.unionByName(mt.macro_f05(gated, t.truth, t.universe).select(F.lit("expected_f_gate").alias("method"), "macro_f05")), "macro_f05")
+    out = cut(out, "methods")
+    top = out.orderBy(F.desc("macro_f05"), "method").limit(1).select("method", F.lit(True).alias("chosen"))
+    return out.join(top, "method", "left").select("method", "macro_f05", F.coalesce("chosen", F.lit(False)).alias("chosen"))
 
 
 def _model_inputs(t, cands=None):
@@ -267,26 +313,40 @@ def _model_inputs(t, cands=None):
 @query()
 def train_gbdt(t):
     rows, names = _model_inputs(t)
-    oof, _ = ln.train_boosted(rows, names, [0, 1, 2, 3, 4], rounds=5, depth=4)
+    oof, _, _ = ln.train_boosted(rows, names, [0, 1, 2, 3, 4])
     return oof
 
 
+@query()
+def train_gbdt_importance(t):
+    """Inputs by their share of the gain in the model of all rows, with the rounds that early stopping led to."""
+    rows, names = _model_inputs(t)
+    _, _, found = ln.train_boosted(rows, names, [0, 1, 2, 3, 4])
+    return t.spark.createDataFrame([(k, float(v), found["rounds"]) for k, v in found["importance"].items()], "input string, gain double, rounds int")
+
+
 @query()
 def predict_submit(t):
     """Lists of every source-1 record of split test; candidates of both splits are made by the same passes, so a score means the same in both."""
     test = Tables(t.spark, t.sf_dir, "test")
     rows, names = _model_inputs(t, cut(bl.generate(t.records), "submit_train"))
-    _, model = ln.train_boosted(rows, names, [0], rounds=5, depth=4)
+    oof, models, _ = ln.train_boosted(rows, names, [0, 1, 2, 3, 4])
+    oof = cut(oof, "submit_oof")
+    best = sl.best_threshold(sl.threshold_curve(oof, t.truth, t.universe, _GRID)).first()
     unseen, _ = ln.prune_inputs(bl.generate(test.records))
-    return sl.id_lists(sl.select_threshold(ln.predict(model, unseen, names), 0.5), test.first)
+    return sl.id_lists(sl.select_threshold(ln.predict(models, unseen, names), best["threshold"]), test.first)
 
 
 # profiles
 
-@query("""SELECT split, source, count(*) AS n_rows, count(*) FILTER (trim(n) = '') AS empty_name, count(*) FILTER (trim(a) = '') AS empty_addr, CAST(max(length(n)) AS INTEGER) AS max_len, round(quantile_cont(length(n), 0.5), 6) AS len_p50, round(quantile_cont(length(n), 0.95), 6) AS len_p95, count(*) FILTER (regexp_matches(n, '^\\p{Nd}')) AS n_leading_digit, count(*) FILTER (regexp_matches(n, '\\p{Nd}')) AS n_has_digit
+_FLAGS = {f"n_{k}": v.format(c="n") for k, v in NAME_SQL.items()}
+
+
+@query(f"""SELECT split, source, count(*) AS n_rows, count(*) FILTER (trim(n) = '') AS empty_name, count(*) FILTER (trim(a) = '') AS empty_addr, round(avg(len(regexp_split_to_array(trim(n), '\\s+'))), 6) AS mean_tokens, CAST(max(length(n)) AS INTEGER) AS max_len, {', '.join(f"round(quantile_cont(length(n), {q}), 6) AS len_p{int(100 * q):02d}" for q in pf.LEVELS)},
+    {', '.join(f'count(*) FILTER ({v}) AS {k}' for k, v in _FLAGS.items())}, count(*) FILTER ({' OR '.join(f'({v})' for v in _FLAGS.values())}) AS n_any
     FROM (SELECT split, source, coalesce(business_name, '') AS n, coalesce(business_address, '') AS a FROM records) GROUP BY split, source""")
 def eda_profile(t):
-    return rounded(pf.profile(t.raw("records")).select("split", "source", "n_rows", "empty_name", "empty_addr", "max_len", "len_p50", "len_p95", "n_leading_digit", "n_has_digit"), "len_p50", "len_p95")
+    return rounded(pf.profile(t.raw("records")), "mean_tokens", *[f"len_p{int(100 * q):02d}" for q in pf.LEVELS])
 
 
 @query("SELECT split, source, country, CAST(grouping(split, source, country) AS INTEGER) AS level, count(*) AS n_rows FROM records GROUP BY ROLLUP (split, source, country)")
@@ -304,6 +364,11 @@ def eda_france(t):
     return pf.token_frequencies(t.raw("records"), "France")
 
 
+@query(r"SELECT token, count(*) AS n FROM (SELECT unnest(list_filter(regexp_extract_all(lower(business_address), '[\p{L}\p{M}\p{N}]+'), lambda x: length(x) > 1 AND NOT regexp_matches(x, '^\p{Nd}+$'))) AS token FROM records WHERE country = 'France') GROUP BY token ORDER BY n DESC, token LIMIT 50")
+def eda_address_tokens(t):
+    return pf.token_frequencies(t.raw("records"), "France", column="business_address")
+
+
 @query(f"WITH {SCRIPT_OF} SELECT country, script, count(*) AS n FROM script_of GROUP BY country, script")
 def eda_scripts(t):
     return pf.script_counts(t.raw("records"))

@@ -100,9 +100,22 @@ def blk_tfidf_full(t):
     return _score(bl.tfidf_full(t.records))
 
 
-@query(_knn("lower(concat_ws(' ', business_name, business_address))", 10))
+@query(with_("rec") + r"""rows_ AS (SELECT entity_id, source, country, lower(concat_ws(' ', business_name, business_address)) AS text FROM rec WHERE country IS NOT NULL AND trim(lower(concat_ws(' ', business_name, business_address))) <> ''),
+    parts AS (SELECT DISTINCT country, source AS target FROM rows_ WHERE source IN (2, 3) AND country IN (SELECT country FROM rows_ WHERE source = 1)),
+    docs AS (SELECT target, r.* FROM parts p JOIN rows_ r ON r.country = p.country AND r.source IN (1, target)),
+    wrd AS (SELECT text, i AS wi, ' ' || ws[i] || ' ' AS p, length(ws[i]) AS n FROM (SELECT text, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT DISTINCT text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ws FROM rows_))),
+    gr AS (SELECT text, substr(p, CAST(i AS BIGINT), g) AS gram FROM wrd, (VALUES (3), (4), (5)) AS z(g), LATERAL (SELECT unnest(generate_series(1, greatest(1, n + 3 - g))) AS i) WHERE g <= greatest(3, least(5, n + 2))),
+    tf AS (SELECT text, gram, count(*) AS tf FROM gr GROUP BY text, gram), sizes AS (SELECT country, target, count(*) AS n FROM docs GROUP BY country, target),
+    dfs AS (SELECT country, target, gram, count(*) AS df FROM docs JOIN tf USING (text) GROUP BY ALL),
+    wt AS (SELECT country, target, text, gram, w / sqrt(sum(w * w) OVER (PARTITION BY country, target, text)) AS w FROM (SELECT d.country, d.target, tf.text, tf.gram, (1.0::DOUBLE + ln(tf)) * (ln((1.0::DOUBLE + n) / (1.0::DOUBLE + df)) + 1.0::DOUBLE) AS w
+        FROM (SELECT DISTINCT country, target, text FROM docs) d JOIN tf USING (text) JOIN dfs f ON f.country = d.country AND f.target = d.target AND f.gram = tf.gram JOIN sizes z ON z.country = d.country AND z.target = d.target)),
+    near AS (SELECT x.country, x.target, x.text AS t1, y.text AS t2, round(sum(x.w * y.w), 9) AS score FROM wt x JOIN wt y ON x.country = y.country AND x.target = y.target AND x.gram = y.gram
+        WHERE x.text IN (SELECT text FROM rows_ WHERE source = 1) AND y.text IN (SELECT text FROM rows_ WHERE source <> 1) GROUP BY ALL),
+    topk AS (SELECT near.*, c.entity_id AS cand_id FROM near JOIN rows_ c ON c.text = t2 AND c.country = near.country AND c.source = target QUALIFY row_number() OVER (PARTITION BY near.country, target, t1 ORDER BY score DESC, cand_id) <= 10)
+    SELECT s.entity_id AS s1_id, cand_id, CAST(target AS INTEGER) AS cand_source, round(score, 6) AS score FROM topk JOIN rows_ s ON s.source = 1 AND s.country = topk.country AND s.text = t1""".replace("rows_ AS", ", rows_ AS", 1).replace("\\\\s", "\\s"))
 def blk_baseline_knn(t):
-    return _score(vx.gram_neighbours(t.records.withColumn("raw", F.lower(F.concat_ws(" ", "business_name", "business_address"))), "raw", 10))
+    raw = t.records.withColumn("raw", F.lower(F.concat_ws(" ", "business_name", "business_address")))
+    return _score(vx.gram_neighbours(raw, "raw", 10, fit="part", whole_source=False))
 
 
 @query(with_("rec", _grams("name_core")) + """, a AS (SELECT DISTINCT country, text AS t1 FROM rows_ WHERE source = 1), b AS (SELECT DISTINCT country, source, text AS t2 FROM rows_ WHERE source IN (2, 3)),
@@ -138,10 +151,19 @@ def blk_prune(t):
     return rounded(df.select("s1_id", "cand_id", "n_passes", "prune_score", "prune_rank"), "prune_score")
 
 
-@query()
+_RAN = ("exact_name", "rare_token", "addr_key", "dense")
+_GEN_PCT = ", ".join(f"CASE WHEN bs_{p} IS NULL THEN 0 ELSE (rank() OVER (PARTITION BY bs_{p} IS NULL ORDER BY bs_{p}) + (count(*) OVER (PARTITION BY bs_{p}) - 1) / 2.0::DOUBLE) / count(bs_{p}) OVER () END AS pct_{p}" for p in _RAN)
+
+
+@query(with_("rec", _TOKENS, _RARE, _RARE_TOKEN, _EXACT, _ADDR, "allp AS (SELECT *, 'exact_name' AS pass FROM exact UNION ALL SELECT *, 'rare_token' FROM raretok UNION ALL SELECT *, 'addr_key' FROM addrkey UNION ALL SELECT s1_id, cand_id, CAST(substr(cand_id, 2, 1) AS INTEGER), CAST(bs_dense AS DOUBLE), 'dense' FROM candidates_train WHERE blk_dense)",
+             "un AS (SELECT s1_id, cand_id, min(cand_source) AS cand_source, " + ", ".join(f"bool_or(pass = '{p}') AS blk_{p}, max(score) FILTER (pass = '{p}') AS bs_{p}" for p in _RAN) + " FROM allp GROUP BY s1_id, cand_id)", f"pcts AS (SELECT *, {_GEN_PCT} FROM un)",
+             f"ranked AS (SELECT *, greatest({', '.join(f'pct_{p}' for p in _RAN)}) AS score, {' + '.join(f'CAST(blk_{p} AS INTEGER)' for p in _RAN)} AS n_passes FROM pcts)", "cutoff AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY round(score, 9) DESC, cand_id) - 1 AS place FROM ranked)")
+       + "SELECT s1_id, cand_id, CAST(cand_source AS TINYINT) AS cand_source, " + ", ".join(f"blk_{p}" if p in _RAN else f"false AS blk_{p}" for p in PASSES) + ", " + ", ".join(f"round(CAST(CAST(bs_{p} AS FLOAT) AS DOUBLE), 6) AS bs_{p}" if p in _RAN else f"CAST(NULL AS DOUBLE) AS bs_{p}" for p in PASSES)
+       + ", round(CAST(CAST(score AS FLOAT) AS DOUBLE), 6) AS prune_score, CAST(place AS SMALLINT) AS prune_rank FROM cutoff WHERE place < 30 OR n_passes >= 3")
 def blk_generate(t):
     neighbours = t.cands.filter("blk_dense").select("s1_id", "cand_id", F.col("bs_dense").alias("score"))
-    return bl.generate(t.records, top_n=30, neighbours=neighbours)
+    made = bl.generate(t.records, top_n=30, neighbours=neighbours)
+    return made.withColumns({c: F.round(F.col(c).cast("double"), 6) for c in (*[f"bs_{p}" for p in PASSES], "prune_score")})
 
 
 @query()

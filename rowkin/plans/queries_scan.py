@@ -60,7 +60,15 @@ def sink_id_lists(t):
     return files.id_list_frame(universe, select_threshold(t.preds, 0.5), pool)
 
 
-@query()
+# The checksum of ids (ASCII) from its definition
+CRC_TABLE = "crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS ct)"
+
+
+def crc(key: str) -> str:
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({key}, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda c, b: xor(c // 256, ct[(xor(c, b) % 256) + 1])), 4294967295)"
+
+
+@query(with_("uni", CRC_TABLE) + f"SELECT s1_id, n_true FROM (SELECT s1_id, n_true, {crc('s1_id')} AS h FROM uni, crc_table) WHERE h % 10000 < 2000")
 def sample_crc32(t):
     return t.universe.filter(ln.in_sample("s1_id", 0.2)).select("s1_id", "n_true")
 
@@ -92,7 +100,7 @@ def reorder_cols(t):
     return contract_columns(t.cands.select(*sorted(t.cands.columns)))
 
 
-@query()
+@query(with_("uni", CRC_TABLE) + f"SELECT s1_id, CAST((row_number() OVER (PARTITION BY stratum ORDER BY h, s1_id) - 1) % 5 AS INTEGER) AS fold FROM (SELECT s1_id, coalesce(country, '') || '_' || CAST(least(n_true, 3) AS VARCHAR) AS stratum, {crc('s1_id')} AS h FROM uni, crc_table)")
 def folds_stratified(t):
     return ln.stratified_folds(t.universe)
 
@@ -108,12 +116,12 @@ def labels_explode(t):
     return ln.explode_labels(truth)
 
 
-@query()
+@query(f"WITH {CRC_TABLE} SELECT s1_id, cand_id, CAST({crc('s1_id')} % 5 AS INTEGER) AS gfold FROM candidates_train, crc_table")
 def group_kfold(t):
     return ln.group_folds(t.cands.select("s1_id", "cand_id"), 5)
 
 
-@query()
+@query(with_("rec") + "SELECT country, entity_id, business_name FROM rec QUALIFY row_number() OVER (PARTITION BY country ORDER BY md5('42:' || entity_id), entity_id) <= 5")
 def random_sample_n(t):
     return ln.sample_per_group(t.records.select("country", "entity_id", "business_name"), "country", "entity_id", 5)
 
@@ -192,7 +200,7 @@ def _hits(column: str, patterns: dict[str, str]) -> str:
 
 
 _E = r"[^\p{{L}}\p{{N}}_]"
-_NAME_SQL = {
+NAME_SQL = {
     "leading_junk": rf"regexp_matches({{c}}, '^{_E}')", "leading_digit": r"regexp_matches({c}, '^\p{{Nd}}')", "domain": rf"regexp_matches({{c}}, '(?i)(www\.|https?:|\.(com|in|net|org|co|us|fr)({_E}|$))')",
     "dba": rf"regexp_matches({{c}}, '(?i)(^|{_E})dba({_E}|$)|trading as')", "single_token": r"NOT regexp_matches({c}, '\s')", "has_digit": r"regexp_matches({c}, '\p{{Nd}}')", "upper": "regexp_matches({c}, '[A-ZÀ-ÖØ-Þ]') AND NOT regexp_matches({c}, '[a-z]')",
     "legal_first": rf"regexp_matches({{c}}, '(?i)^{_E}*(m/s|s/s|msme|private|pvt|proprietorship|partnership|sasuru|sarl|eurl|sas|sasu|sca|scs|snc|sci|gmbh|incorporated|corporation|company|limited|plc|pte|pty|llc|inc|ltd|corp|llp|sp|sa|co|lp|ab|as|bv|nv|oy)({_E}|$)')",
@@ -200,12 +208,12 @@ _NAME_SQL = {
 }
 _MARK_SQL = {k: rf"regexp_matches({{c}}, '(?i)(^|{_E})({w})({_E}|$)')" for k, w in {"near": "near|nearby", "opposite": "opposite|opp", "behind": "behind", "beside": "beside|adjacent to|next to", "in_front": "(in )?front of", "across": "across (from|the street)", "esquina": "esquina|vista|frente", "corner": "corner", "rear": "rear|back of|backside"}.items()}
 _ADDRESS_SQL = {
-    "upper": _NAME_SQL["upper"], "starts_number": r"regexp_matches({c}, '^\s*\p{{Nd}}')", "bis": rf"regexp_matches({{c}}, '(?i)(^|{_E})(bis|ter|quater)({_E}|$)')", "placeholder": rf"regexp_matches({{c}}, '(?i)<\s*null\s*>|(^|{_E})(null|n/a)({_E}|$)')",
-    "landmark": "(" + " OR ".join(_MARK_SQL.values()) + ")", "zero_width": _NAME_SQL["zero_width"],
+    "upper": NAME_SQL["upper"], "starts_number": r"regexp_matches({c}, '^\s*\p{{Nd}}')", "bis": rf"regexp_matches({{c}}, '(?i)(^|{_E})(bis|ter|quater)({_E}|$)')", "placeholder": rf"regexp_matches({{c}}, '(?i)<\s*null\s*>|(^|{_E})(null|n/a)({_E}|$)')",
+    "landmark": "(" + " OR ".join(_MARK_SQL.values()) + ")", "zero_width": NAME_SQL["zero_width"],
 }
 
 
-@query(f"SELECT source, count(*) AS n_rows, {_hits('business_name', _NAME_SQL)} FROM records WHERE business_name IS NOT NULL GROUP BY source")
+@query(f"SELECT source, count(*) AS n_rows, {_hits('business_name', NAME_SQL)} FROM records WHERE business_name IS NOT NULL GROUP BY source")
 def re_noise_flags(t):
     rows = t.raw("records").filter("business_name is not null")
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"), *[F.count_if(c).alias(k) for k, c in tx.noise_flags("business_name").items()])
