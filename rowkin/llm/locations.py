@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from rowkin.llm.addresses import heard, parse_columns, squeeze
-from rowkin.llm.clusters import components, group_stream
+from rowkin.llm.clusters import components, group_stream, hub_members
 from rowkin.llm.scripts import romanise
 from rowkin.session import cut
 
@@ -275,11 +275,8 @@ def block_links(spread: DataFrame, forms: DataFrame) -> DataFrame:
     from frequent to rare and compared with the forms that nothing before them took in. So a key of n forms of d addresses gives at most
     n * d comparisons, and one pair per form, not n * n.
     """
-    keys = spread.groupBy("key").agg(F.max(F.struct("n", "form")).alias("h"), F.min("form").alias("x"), F.max("form").alias("y"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    keys = cut(keys.select("key", F.col("h.form").alias("hub"), "x", "y", "size"), "hubs")
-    members = cut(spread.join(keys.filter("size > 2").select("key", "hub"), "key").filter("form <> hub").select("key", "hub", "form", "n"), "members")
-    two = keys.filter("size = 2").select(F.col("hub").alias("a"), F.when(F.col("x") == F.col("hub"), F.col("y")).otherwise(F.col("x")).alias("b"))
-    pairs = two.unionByName(members.select(F.col("hub").alias("a"), F.col("form").alias("b"))).distinct()
+    members = cut(hub_members(spread), "members")
+    pairs = members.select(F.col("hub").alias("a"), F.col("form").alias("b")).distinct()
     good = cut(with_costs(pairs, forms).filter(F.col("cost") <= MOST).select("a", "b"), "good")
     failed = members.join(good.select(F.col("a").alias("hub"), F.col("b").alias("form")), ["hub", "form"], "left_anti")
     several = failed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")

@@ -33,9 +33,8 @@ def block_sample(df: DataFrame, id_col: str, block: int = BLOCK, chosen: int = C
     tail = F.regexp_extract("id", r"([0-9]{1,15})$", 1)
     seq = F.when(tail != "", tail.cast("long")).otherwise(F.conv(F.substring(F.md5("id"), 1, 12), 16, 10).cast("long"))
     rows = ids.select("id", seq.alias("seq")).select("id", "seq", F.floor(F.col("seq") / block).cast("long").alias("block_no"), (F.col("seq") % block).cast("long").alias("position"))
-    keys = rows.select("block_no").distinct().select("block_no", *[_word(F.col("block_no"), seed, k).alias(f"w{k}") for k in range(3)])
     half = max(1, (block.bit_length() - 1) // 2)
-    rows = rows.join(keys, "block_no")
+    rows = rows.withColumns({f"w{k}": _word(F.col("block_no"), seed, k) for k in range(3)})
     image = F.col("position")
     for k in range(3):
         odd = F.col(f"w{k}") * 2 + 1
