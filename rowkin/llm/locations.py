@@ -328,8 +328,11 @@ def given_homes(loose: DataFrame, homes: DataFrame, forms: DataFrame) -> DataFra
     return best.filter(F.col("building") == F.col("other")).select(F.col("a").alias("form"), "building")
 
 
-def buildings(addresses: DataFrame) -> DataFrame:
-    """``(entity_id, building)`` of every record of ``addresses`` (as ``parsed``) whose address names a building or landmark and a street."""
+def buildings(addresses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(entity_id, building)`` of every record of ``addresses`` (as ``parsed``) whose address names a building or landmark and a street.
+
+    With ``keep``, these columns too, and the records of no building with a null building.
+    """
     # addresses alike in all but postcode and state are one form where they have a town, since towns that agree need neither
     named = addresses.filter("anchor <> '' and core <> ''").withColumn("form", F.xxhash64("anchor", "prefix", "core", "kind", "town", F.when(F.col("town") == "", F.concat_ws("|", "post", "state")).otherwise("")))
     parts = ["anchor", "prefix", "core", "kind", "town"]
@@ -349,7 +352,8 @@ def buildings(addresses: DataFrame) -> DataFrame:
     names = components(among)
     rest = loose.join(given, "form", "left_anti").join(names, F.col("form") == F.col("node"), "left").select("form", F.coalesce("label", "form").alias("building"))
     laid = homes.select("form", "building").unionByName(given).unionByName(rest)
-    return named.select("entity_id", "form").join(laid, "form").select("entity_id", "building")
+    at = named.select("entity_id", *keep, "form").join(laid, "form").select("entity_id", *keep, "building")
+    return at.unionByName(addresses.filter("not (anchor <> '' and core <> '')").select("entity_id", *keep, F.lit(None).cast("long").alias("building"))) if keep else at
 
 
 def location_groups(records: DataFrame) -> DataFrame:
