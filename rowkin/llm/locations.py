@@ -224,9 +224,9 @@ def town_blocks(town: str) -> tuple[str, ...]:
 
 @lru_cache(maxsize=1 << 16)
 def post_blocks(post: str) -> tuple[str, ...]:
-    """For addresses without a town: the postcode with each digit left out or its neighbours swapped away, and its area."""
+    """For addresses without a town: the postcode's first three and last two digits, of which any one wrong, missing or swapped pair of digits leaves one."""
     post = post.lstrip("0")
-    return ("A:" + post[:-2], *sorted({"D:" + post[:i] + post[i + 1 :] for i in range(len(post))})) if post else ()
+    return ("H:" + post[:3], "E:" + post[-2:]) if post else ()
 
 
 def _index_keys(core: pd.Series, town: pd.Series, post: pd.Series) -> pd.Series:
@@ -300,7 +300,7 @@ def block_links(spread: DataFrame, forms: DataFrame) -> DataFrame:
 def given_homes(loose: DataFrame, homes: DataFrame, forms: DataFrame) -> DataFrame:
     """``(form, building)`` of the addresses without a town that one building suits at less cost than all others.
 
-    Blocks are the postcode's area and its spellings with a digit left out; buildings of which no postcode is known are in a block of their
+    Blocks are the beginning and the end of the postcode; buildings of which no postcode is known are in a block of their
     own with all postcodes, and addresses without a postcode meet every building of their number and street. Buildings of one block that
     are alike in all that is compared count as one offer that suits several, so such a block stays small.
     """
@@ -319,7 +319,7 @@ def given_homes(loose: DataFrame, homes: DataFrame, forms: DataFrame) -> DataFra
     wanted = keyed(loose.filter(post != ""), post, "post").unionByName(keyed(loose.filter(post != ""), none, "unposted")).unionByName(keyed(loose.filter(post == ""), none, "any"))
     wanted = cut(wanted, "loose")
     spread = keyed(near.filter(post != ""), post, "post", "building").unionByName(keyed(near.filter(~F.col("posted")), none, "unposted", "building")).unionByName(keyed(near, none, "any", "building"))
-    spread = spread.distinct().join(wanted.select("key").distinct(), "key", "left_semi").join(forms.select("form", "prefix", "core", "kind", "state", "post"), "form")
+    spread = spread.join(wanted.select("key").distinct(), "key", "left_semi").join(forms.select("form", "prefix", "core", "kind", "state", "post"), "form")
     offers = spread.groupBy("key", "prefix", "core", "kind", "state", "post").agg(F.min("form").alias("b"), F.min("building").alias("first"), F.max("building").alias("last"))
     met = cut(wanted.join(offers, "key").select(F.col("form").alias("a"), "b", "first", "last").distinct(), "met")
     costs = with_costs(met.select("a", "b").distinct(), forms).filter(F.col("cost") <= MOST).join(met, ["a", "b"])
