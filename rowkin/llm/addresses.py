@@ -92,7 +92,7 @@ def _words(text: str) -> list[str]:
     return (_PLAIN_WORD if text.isascii() else _WORD).findall(text)
 
 
-def parse_address(norm: str, city: str, state: str, postcode: str, unit: str, landmark: str) -> tuple[str, str, str, str, str, str, str]:
+def parse_address(norm: str, city: str, state: str, postcode: str, landmark: str) -> tuple[str, str, str, str, str, str, str]:
     """(anchor, prefix, core, kind, town, post, state) of an address.
 
     ``anchor`` is the house number with its letter or addition, else the landmark with its relation in front of it, else "" for an address
@@ -195,11 +195,11 @@ def parse_address(norm: str, city: str, state: str, postcode: str, unit: str, la
     return anchor, " ".join(sorted(prefix)), core, kind, town, post, state_words.replace(" ", "")
 
 
-def parse_columns(address: pd.Series, norm: pd.Series, city: pd.Series, state: pd.Series, postcode: pd.Series, unit: pd.Series, landmark: pd.Series) -> pd.DataFrame:
-    """``parse_address`` over columns; the address as written counts, its normalised form where that is null or empty. Nulls and placeholders are empty."""
+def parse_columns(address: pd.Series, city: pd.Series, state: pd.Series, postcode: pd.Series, landmark: pd.Series) -> pd.DataFrame:
+    """``parse_address`` over columns; nulls and placeholders are empty."""
     rows = []
-    for raw, plain, *parts in zip(address, norm, city, state, postcode, unit, landmark, strict=True):
-        text = raw or plain or ""
+    for raw, *parts in zip(address, city, state, postcode, landmark, strict=True):
+        text = raw or ""
         if len(text) < 12 and "".join(c for c in text.lower() if c.isalnum()) in PLACEHOLDERS:
             text = ""
         rows.append(parse_address(text, *(x or "" for x in parts)))

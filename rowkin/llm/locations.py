@@ -196,12 +196,20 @@ def address_cost(a: tuple, b: tuple) -> float:
     return cost + (post if post < 4 else 99)
 
 
+#: What ``parse_columns`` takes, in its order.
+ADDRESS_COLUMNS = ("__address", "city", "state", "postcode", "landmark")
+
+
+def address_text() -> Column:
+    """The address as written, its normalised form where that is null or blank; chosen before records are moved."""
+    return F.when(F.trim("business_address") != "", F.col("business_address")).otherwise(F.col("addr_norm"))
+
+
 def parsed(records: DataFrame) -> DataFrame:
     """``entity_id, source`` and the address parts, one row per record (the delivery loaded last)."""
-    cols = ["business_address", "addr_norm", "city", "state", "postcode", "unit", "landmark"]
-    newest = records.groupBy("entity_id").agg(F.max(F.struct("loaded_at", "source", *cols)).alias("v"))
+    newest = records.withColumn("__address", address_text()).groupBy("entity_id").agg(F.max(F.struct("loaded_at", "source", *ADDRESS_COLUMNS)).alias("v"))
     parse = pandas_udf(parse_columns, _PARTS)
-    return newest.select("entity_id", F.col("v.source").alias("source"), parse(*[F.col(f"v.{c}") for c in cols]).alias("p")).select("entity_id", "source", "p.*")
+    return newest.select("entity_id", F.col("v.source").alias("source"), parse(*[F.col(f"v.{c}") for c in ADDRESS_COLUMNS]).alias("p")).select("entity_id", "source", "p.*")
 
 
 @lru_cache(maxsize=1 << 16)
