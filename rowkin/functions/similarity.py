@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -90,13 +91,24 @@ SCORERS = {"ratio": indel_ratio, "token_sort": token_sort_ratio, "token_set": to
 
 
 def similarity(scorer: str, a: Column | str, b: Column | str) -> Column:
-    """A scorer of ``SCORERS`` over two columns, in Arrow batches; null counts as the empty text."""
+    """A scorer of ``SCORERS`` over two columns, in Arrow batches; null counts as the empty text. Equal pairs of a task are scored once."""
     fn = SCORERS[scorer]
 
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([fn(p or "", q or "") for p, q in zip(x, y, strict=True)], dtype="float64")
-
-    run.__annotations__ = {"x": pd.Series, "y": pd.Series, "return": pd.Series}
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        known: dict[tuple[str, str], float] = {}
+        for x, y in parts:
+            if len(known) > 1 << 17:
+                known.clear()
+            out = []
+            for p, q in zip(x, y, strict=True):
+                key = (p or "", q or "")
+                score = known.get(key)
+                if score is None:
+                    score = known[key] = fn(*key)
+                out.append(score)
+            yield pd.Series(out, dtype="float64")
+
+    run.__annotations__ = {"parts": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
     return pandas_udf(run, "double")(a, b)
 
 

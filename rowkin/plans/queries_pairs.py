@@ -204,21 +204,17 @@ def pair_cosine(t):
     return vx.pair_cosine(pairs, v.select("id", "v")).select("s1_id", "cand_id", F.round("cosine", 5).alias("cosine"))
 
 
-@query()
+@query(with_("rec") + """SELECT entity_id, 26 AS dim, CAST(len(list_filter(v, lambda x: x > 0)) AS INTEGER) AS n_filled, CAST(list_position(v, list_max(v)) AS BIGINT) AS top_dim
+    FROM (SELECT entity_id, list_transform(range(26), lambda i: length(t) - length(replace(t, chr(CAST(97 + i AS INTEGER)), ''))) AS v FROM (SELECT entity_id, 'query: ' || coalesce(name_core, '') AS t FROM rec))""")
 def encode(t):
+    """A stand-in for a sentence model, whose vectors SQL can follow: how often each letter occurs in the prefixed text."""
     import numpy as np
 
-    def hashed(texts):
-        """A stand-in for a sentence model: hashed character trigrams."""
-        import zlib
-
-        m = np.zeros((len(texts), 64), dtype=np.float32)
-        for i, s in enumerate(texts):
-            for k in range(len(s) - 2):
-                m[i, zlib.crc32(s[k : k + 3].encode()) % 64] += 1
-        return m
+    def letters(texts):
+        return np.array([[s.count(c) for c in "abcdefghijklmnopqrstuvwxyz"] for s in texts], dtype=np.float32).reshape(len(texts), 26)
 
-    return vx.encode_texts(t.records.select("entity_id", "name_core"), "name_core", hashed, 64).select("entity_id", F.size("embedding").alias("dim"))
+    out = vx.encode_texts(t.records.select("entity_id", "name_core"), "name_core", letters, 26)
+    return out.select("entity_id", F.size("embedding").alias("dim"), F.size(F.filter("embedding", lambda x: x > 0)).alias("n_filled"), F.array_position("embedding", F.array_max("embedding")).alias("top_dim"))
 
 
 @query(with_("truth") + "SELECT coalesce(CAST(substr(cand_id, 2, 1) AS INTEGER), 0) AS source, count(*) AS n_true, round(avg(hit), 6) AS recall FROM (SELECT t.s1_id, t.cand_id, CASE WHEN c.cand_id IS NULL THEN 0 ELSE 1 END AS hit FROM truth t LEFT JOIN (SELECT DISTINCT s1_id, cand_id FROM candidates_train WHERE blk_dense) c USING (s1_id, cand_id)) GROUP BY GROUPING SETS ((CAST(substr(cand_id, 2, 1) AS INTEGER)), ())")

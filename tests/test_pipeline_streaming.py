@@ -25,7 +25,7 @@ def test_pipeline(spark, tmp_path):
     assert 0.05 <= params["threshold"] <= 0.95
     report = {(r["kind"], r["value"]): r for r in pipeline.evaluate(spark, SMALL, str(tmp_path)).collect()}
     assert abs(report["overall", "all"]["macro_f05"] - params["macro_f05"]) < 1e-9
-    assert (tmp_path / "experiments.csv").exists()
+    assert (tmp_path / "experiments.csv").exists() and (tmp_path / "meta.json").exists()
 
 
 @needs_tables

@@ -1,4 +1,4 @@
-"""Queries on names of any script: every row takes part, compared by character, beside brute force and, on the rows in ASCII, the SQL."""
+"""Queries on names of any script: every row takes part, compared by character, beside brute force and the SQL."""
 
 import re
 
@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as e
 from rowkin.functions.similarity import jaro_winkler
-from rowkin.functions.text import LEGAL_WORDS
+from rowkin.functions.text import LEGAL_FIRST, script_of_text
 
 NAMES = {"S1-1": "café münchen", "S1-2": "शर्मा फूड्स", "S1-3": "acme foods", "S2-1": "cafe munchen", "S2-2": "sharma foods", "S3-3": "acme food", "S3-4": "शर्मा फूड"}
 RAW = {"S1-1": "«Café München GmbH", "S1-2": "शर्मा फूड्स pvt", "S1-3": "ACME FOODS LLC", "S2-1": "CAFÉ MÜNCHEN", "S2-2": ">> sharma foods", "S3-3": "éclair aka acme", "S3-4": "‌शर्मा फूड"}
@@ -48,8 +48,7 @@ def test_similarities_of_every_pair(spark, tables):
     for name, fn in (("sim_jw", lambda a, b: round(jaro_winkler(a, b), 6)), ("sim_ned", ned)):
         got = run(spark, tables, name)
         assert got == {p: (fn(NAMES[p[0]], NAMES[p[1]]),) for p in PAIRS[2:]}
-        plain = by_sql(tables, name)
-        assert plain and plain.items() <= got.items() and set(plain) == {p for p in got if (NAMES[p[0]] + NAMES[p[1]]).isascii()}
+        assert by_sql(tables, name) == got
 
 
 def test_misses_of_every_script(spark, tables):
@@ -57,14 +56,23 @@ def test_misses_of_every_script(spark, tables):
     want = {p: ned(NAMES[p[0]], NAMES[p[1]]) for p in PAIRS[:2]}
     assert got == {p: (v, "address_only_match" if v > 0.6 else "other") for p, v in want.items()}
     assert {v[1] for v in got.values()} == {"address_only_match", "other"}
+    assert by_sql(tables, "misses") == got
 
 
 def test_noise_flags_of_every_record(spark, tables):
-    word = rf"(?i)(?:^|[^\w])({LEGAL_WORDS})(?:[^\w]|$)"
+    legal = rf"(?i)^[^\w]*(?:{LEGAL_FIRST.replace(' ', '|')})(?:[^\w]|$)"
     want = {}
     for k, v in RAW.items():
-        flags = (re.search(r"^[^\w\s]", v), v.upper() == v != v.lower(), v.lower() == v != v.upper(), re.search(r"(?i)(?:^|[^\w])(dba|d/b/a|t/a|trading as|f/k/a|aka)(?:[^\w]|$)", v), re.search(word, v))
-        old = want.get(int(k[1]), (0,) * 5)
-        want[int(k[1])] = tuple(n + bool(f) for n, f in zip(old, flags, strict=True))
+        flags = (
+            re.search(r"^[^\w]", v), re.search(r"^\d", v), re.search(r"(?i)www\.|https?:|\.(?:com|in|net|org|co|us|fr)\b", v), re.search(r"(?i)\bdba\b|trading as", v), not re.search(r"\s", v), re.search(r"\d", v),
+            re.search("[A-ZÀ-ÖØ-Þ]", v) and not re.search("[a-z]", v), re.search(legal, v), re.search("[\u00ad\u200b-\u200f\u2060\ufeff]", v),
+        )
+        old = want.get(int(k[1]), (0,) * 10)
+        want[int(k[1])] = (old[0] + 1, *(n + bool(f) for n, f in zip(old[1:], flags, strict=True)))
     got = {r["source"]: tuple(r)[1:] for r in e.queries()["re_noise_flags"](spark, tables).collect()}
-    assert got == want and got[3][0] == 1 and got[2][1] == 1
+    assert got == want and got[3][1] == 1 and got[2][7] == 1
+    assert {k[0]: k[1:] + v for k, v in by_sql(tables, "re_noise_flags").items()} == {k: v for k, v in got.items()}
+
+
+def test_scripts():
+    assert [script_of_text(t) for t in ("한국어", "ひらがな", "สวัสดี", "שלום", "հայ", "සිංහල", "Ａcme", "中文", "", "123")] == ["HANGUL", "CJK", "THAI", "HEBREW", "ARMENIAN", "SINHALA", "LATIN", "CJK", "EMPTY", "OTHER"]
