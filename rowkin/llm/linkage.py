@@ -153,8 +153,7 @@ def candidate_pairs(read: DataFrame) -> DataFrame:
     """``(s1_id, cand_id, name, place, country, same)``: likenesses of the pairs that the blocks propose, in [0, 1].
 
     In one building ``place`` is 1. Of one spelling group and number in a neighbouring locality it is the streets' likeness, asked where no
-    source-1 record of the group is in the candidate's building. A candidate whose address names no building has the share of each source-1 record of its spelling group that its town suits; shares under a half,
-    that is among three records alike or more, cannot reach CONFIDENT by any rule and are left out.
+    source-1 record of the group is in the candidate's building. A candidate whose address names no building has the share of each source-1 record of its spelling group that its town and postcode suit.
     """
     tokens = cut(read.filter("tokens <> ''").groupBy("tokens").agg(F.count(F.lit(1)).alias("n")), "tokens")
     known_words = generic_words(tokens)
@@ -222,7 +221,10 @@ def homeless_pairs(first: DataFrame, others: DataFrame, wide: DataFrame, keys) -
     """Pairs of candidates whose address names no building with the source-1 records of their spelling group.
 
     Candidates alike in group, town, postcode, state and country are one profile; each profile meets the source-1 records of its group in
-    neighbouring localities, or all of them where it has no town and the group has few.
+    neighbouring localities, or where it has no town all of them, postcode by postcode with the number of records that have it.
+
+    Every record met counts in the total, whatever its own share. No other block proposes these candidates and none of their pairs has a
+    partner in transitivity, so a pair's value never exceeds its share: pairs with a share under a half stay below CONFIDENT and are not listed.
     """
     profile = ["group", "town", "post", "state", "country"]
     homeless = others.filter("building is null and not has_anchor and group is not null").join(first.select("group").distinct(), "group", "left_semi")
@@ -230,13 +232,10 @@ def homeless_pairs(first: DataFrame, others: DataFrame, wide: DataFrame, keys) -
     profiles = homeless.select(*profile).distinct().withColumn("profile", F.xxhash64(*[F.coalesce(c, F.lit("?")) if c != "group" else F.col(c) for c in profile]))
     owners = first.join(profiles.select("group").distinct(), "group", "left_semi").select("group", "entity_id", "country").join(wide, "entity_id")
     owners = cut(owners.select("group", F.col("entity_id").alias("s1_id"), F.col("town").alias("t1"), F.col("post").alias("p1"), F.col("state").alias("st1"), F.col("country").alias("c1")), "owners")
-    few = owners.groupBy("group").agg(F.count(F.lit(1)).alias("owners"))
-    # without a town, all source-1 records of the group share the candidate: more than two leave less than a half to each
-    placeless = profiles.filter("town = ''").join(few.filter("owners <= 2").select("group"), "group").join(owners, "group")
     placed = profiles.filter("town <> ''").withColumn("key", F.explode(keys("town", F.lit(""))))
     near = placed.join(owners.filter("t1 <> ''").withColumn("key", F.explode(keys("t1", F.lit("")))), ["group", "key"]).drop("key").distinct()
     townless = placed.drop("key").distinct().join(owners.filter("t1 = ''"), "group")
-    met = placeless.unionByName(near).unionByName(townless)
+    met = near.unionByName(townless)
 
     def weight(town: pd.Series, post: pd.Series, state: pd.Series, t1: pd.Series, p1: pd.Series, st1: pd.Series) -> pd.Series:
         out = []
@@ -248,8 +247,14 @@ def homeless_pairs(first: DataFrame, others: DataFrame, wide: DataFrame, keys) -
     weight.__annotations__ = {c: pd.Series for c in ("town", "post", "state", "t1", "p1", "st1", "return")}
     weighed = met.withColumn("w", once(weight)("town", "post", "state", "t1", "p1", "st1")).filter("w > 0")
     total = weighed.groupBy("profile").agg(F.sum("w").alias("total"))
-    shares = weighed.join(total, "profile").withColumn("place", F.col("w") / F.col("total")).filter("place >= 0.5")
-    shares = shares.select("profile", "s1_id", "c1", "place")
+    shares = weighed.join(total, "profile").withColumn("place", F.col("w") / F.col("total")).filter("place >= 0.5").select("profile", "s1_id", "c1", "place")
+    # without a town only the postcode tells source-1 records apart: those of one postcode have one weight
+    spots = owners.groupBy("group", "p1").agg(F.count(F.lit(1)).alias("n"))
+    none = F.lit("")
+    asked = cut(profiles.filter("town = ''").select("profile", "group", "post").join(spots, "group").withColumn("w", once(weight)(none, "post", none, none, "p1", none)), "asked")
+    sums = asked.groupBy("profile").agg(F.sum(F.col("w") * F.col("n")).alias("total"))
+    placeless = asked.join(sums, "profile").withColumn("place", F.col("w") / F.col("total")).filter("place >= 0.5").join(owners, ["group", "p1"])
+    shares = shares.unionByName(placeless.select("profile", "s1_id", "c1", "place"))
     mine = homeless.withColumn("profile", F.xxhash64(*[F.coalesce(c, F.lit("?")) if c != "group" else F.col(c) for c in profile]))
     pairs = mine.join(shares, "profile")
     return pairs.select("s1_id", F.col("entity_id").alias("cand_id"), F.lit(1.0).alias("name"), "place", country_fit("country", "c1").alias("country"), F.xxhash64("entity_id").alias("same"))

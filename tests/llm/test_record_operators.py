@@ -210,6 +210,15 @@ def test_soft_logic_decides(spark):
     assert abs(got["S1-5", "S2-5"] - 0.5) < 0.03 and abs(got["S1-6", "S2-5"] - 0.5) < 0.03
 
 
+def test_postcode_decides_among_many_of_one_name(spark):
+    """A candidate without a town meets all four businesses of its name; only the first has its postcode. One without a postcode suits all four alike."""
+    towns = [("thaulakhir", "04008"), ("gisrautom", "71155"), ("hututok", "99341"), ("pomefir", "23770")]
+    rows = [record(f"S1-{i}", 1, "Rinolka Mebuthi", f"{12 + i} Ragaubha Dr {t.title()} OL {p}", t, "ol", p) for i, (t, p) in enumerate(towns)]
+    rows += [record("S2-1", 2, "Rinolka Mebuthi", "n/a", post="04008"), record("S2-2", 2, "Rinolka Mebuthi", None)]
+    got = {(r[0], r[1]): r[2] for r in linked_records(frame(spark, rows)).collect()}
+    assert {p for p, x in got.items() if x >= CONFIDENT} == {("S1-0", "S2-1")}
+
+
 def test_recall_of_matches_on_labels(spark):
     folder = "/root/testdata/sf0.01"
     if not os.path.exists(folder):
