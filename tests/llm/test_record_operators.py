@@ -277,6 +277,17 @@ SAME = [
 OTHER = [("timuzar serasbhait foods", "timuzar serasbhait roofing"), ("timuzar serasbhait foods", "timuzar hututok foods"), ("robert timuzar serasbhait foods", "susan timuzar serasbhait foods"), ("foods", "roofing"), ("", "foods"), ("山田商店", "田中商店")]
 
 
+def test_block_links_join_by_way_of_what_the_hub_took_in(spark):
+    """4 is too far from the hub, 1, but near 2, which the hub takes in; 3 has no kind and joins the hub, not the avenue 5 too."""
+    forms = [(1, "", "ragaubha", "street", "thaulakhir", "", "", 5), (2, "", "ragaulka", "street", "thaulakhir", "", "", 4), (3, "", "ragaubha", "", "thaulakhir", "", "", 3), (4, "", "razaulpa", "street", "thaulakhir", "", "", 2), (5, "", "ragaubha", "avenue", "thaulakhir", "", "", 1)]
+    df = spark.createDataFrame(forms, "form long, prefix string, core string, kind string, town string, post string, state string, n long")
+    cost = {(a[0], b[0]): address_cost(a[1:7], b[1:7]) for a, b in itertools.combinations(forms, 2)}
+    assert cost[1, 4] > MOST >= max(cost[1, 2], cost[2, 4], cost[1, 3], cost[3, 5])
+    links = [(r["a"], r["b"]) for r in block_links(df.select("form", "n", F.lit(7).cast("long").alias("key")), df).collect()]
+    joined = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert joined == {1: 1, 2: 1, 3: 1, 4: 1}
+
+
 def test_names():
     reader = NameReader([*GENERIC, "pharmaceuticals"], ["bkry", "pharma"])
     assert [p for p in SAME if p[0][0] != "s" or "pharma" not in p[0] if name_score(*map(reader.read, p)) < 0.9] == []
