@@ -124,3 +124,43 @@ def test_report(spark, tmp_path):
     titles = reports.write_report(spark, SMALL, str(path))
     text = path.read_text(encoding="utf-8")
     assert len(titles) == len(reports.SECTIONS) and all(f"## {t}\n" in text for t in titles)
+
+
+def test_grams_in_tasks():
+    """The grams that tasks make are those of the definition, also of texts longer than a slice, empty ones and letters beyond the first plane."""
+    from rowkin.operators import grams as gr
+
+    texts = ["ab", "", "a b", "acme foods acme", "x" * 40, "\U0001d538\U0001d539 zürich", "foods"] * 3
+    kept = gr.LETTERS
+    gr.LETTERS = 30
+    try:
+        of, _, tf, names = gr.text_grams(texts, True)
+    finally:
+        gr.LETTERS = kept
+    got = [Counter() for _ in texts]
+    for i, n, g in zip(of.tolist(), tf.tolist(), names, strict=True):
+        got[i][g] += n
+    assert got == [grams(t) for t in texts]
+
+
+def test_gram_search_moves_no_pairs_of_chunks(spark, monkeypatch):
+    """With chunks of two and three texts, what is shuffled stays near what it is with one chunk; copies for every pair of chunks took many times as much."""
+    rows = [(f"S{1 + n % 3}-{n}", 1 + n % 3, "A", f"acme foods {n} roofing {n * 7919 % 1000}") for n in range(300)]
+    df = spark.createDataFrame(rows, "entity_id string, source int, country string, t string")
+
+    def moved() -> tuple[int, set]:
+        status = spark.sparkContext._jsc.sc().statusStore()
+        seen = {s.stageId() for s in stages(status)}
+        found = {tuple(r) for r in vx.gram_neighbours(df, "t", 3).select("s1_id", "cand_id", F.round("score", 7)).collect()}
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return sum(s.shuffleWriteRecords() for s in stages(status) if s.stageId() not in seen), found
+
+    def stages(status):
+        every = status.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return [every.apply(i) for i in range(every.size())]
+
+    whole, found = moved()
+    monkeypatch.setattr(vx, "QUERY_TEXTS", 3)
+    monkeypatch.setattr(vx, "POOL_TEXTS", 2)
+    cut, same = moved()
+    assert same == found and cut < 1.5 * whole
