@@ -29,7 +29,7 @@ from rowkin.llm.clusters import chunk_stream
 from rowkin.llm.locations import _PARTS, ADDRESS_COLUMNS, address_text, buildings, post_cost, prefixes_differ, same_state, town_blocks, town_cost
 from rowkin.llm.names import Name, code, jaro_winkler, name_score, name_tokens, reader, trades_fit, words_score
 from rowkin.llm.spellings import generic_words, token_groups
-from rowkin.session import cut
+from rowkin.session import cut, drop
 
 PULL, CHECK, PRIOR, CHAIN, ONLY = 2.0, 1.5, 0.1, 3.0, 4.0
 #: Step of the alternating directions; they end when no value moves and the sides differ by less than CLOSE, or after so many rounds.
@@ -159,11 +159,11 @@ def candidate_pairs(read: DataFrame) -> DataFrame:
     known_words = generic_words(tokens)
     groups = token_groups(tokens, known_words).select(F.xxhash64("tokens").alias("token_id"), "group")
     parts = ["prefix", "core", "kind", "town", "post", "state"]
-    # what every block needs of a record, in short; names and address parts are looked up for the few records a block asks them of
+    # what every block needs of a record, in short; names and address parts are looked up for the few records a block asks them of, among those of their kind
     short = read.withColumn("token_id", F.xxhash64("tokens")).withColumn("has_anchor", F.col("anchor") != "")
     known = cut(buildings(short, ("source", "country", "token_id", "has_anchor")).join(groups, "token_id", "left"), "known")
     first, others = known.filter("source = 1"), known.filter("source <> 1")
-    wide = read.select("entity_id", "tokens", "anchor", *parts)
+    wide = read.select("entity_id", "source", "anchor", *parts)
 
     def windows(names: pd.Series) -> pd.Series:
         read_ = reader(*known_words)
@@ -203,9 +203,9 @@ def candidate_pairs(read: DataFrame) -> DataFrame:
     # one spelling group and number, neighbouring localities, not one building: for candidates whose building holds no source-1 record of their group
     keys = pandas_udf(_place_keys, "array<string>")
     open_ = others.filter("has_anchor and group is not null").join(left.select("building", "group").distinct(), ["building", "group"], "left_anti")
-    open_ = open_.join(first.filter("has_anchor").select("group").distinct(), "group", "left_semi").select("group", "country", "entity_id").join(wide, "entity_id")
+    open_ = open_.join(first.filter("has_anchor").select("group").distinct(), "group", "left_semi").select("group", "country", "entity_id").join(wide.filter("source <> 1 and anchor <> ''"), "entity_id")
     open_ = cut(open_.select("group", "anchor", F.col("country").alias("c2"), F.col("entity_id").alias("cand_id"), *[F.col(c).alias(f"{c}_b") for c in parts]), "open")
-    whose = first.filter("has_anchor").join(open_.select("group").distinct(), "group", "left_semi").select("group", "country", "entity_id").join(wide, "entity_id")
+    whose = first.filter("has_anchor").join(open_.select("group").distinct(), "group", "left_semi").select("group", "country", "entity_id").join(wide.filter("source = 1 and anchor <> ''"), "entity_id")
     whose = whose.join(open_.select("group", "anchor").distinct(), ["group", "anchor"], "left_semi")
     a = whose.select("group", "anchor", "country", F.col("entity_id").alias("s1_id"), *[F.col(c).alias(f"{c}_a") for c in parts], F.explode(keys("town", "post")).alias("key"))
     b = open_.withColumn("key", F.explode(keys("town_b", "post_b")))
@@ -214,6 +214,7 @@ def candidate_pairs(read: DataFrame) -> DataFrame:
     apart = apart.select("s1_id", "cand_id", one.alias("name"), "place", country_fit("country", "c2").alias("country"), F.xxhash64("cand_id").alias("same"))
     # written one by one, so none of the plans is large
     parts_ = [cut(part, "found") for part in (equal, unlike, apart, homeless_pairs(first, others, wide, keys))]
+    drop(tokens, known, mixed, heard_in, open_)
     return reduce(DataFrame.unionByName, parts_)
 
 
@@ -228,9 +229,9 @@ def homeless_pairs(first: DataFrame, others: DataFrame, wide: DataFrame, keys) -
     """
     profile = ["group", "town", "post", "state", "country"]
     homeless = others.filter("building is null and not has_anchor and group is not null").join(first.select("group").distinct(), "group", "left_semi")
-    homeless = cut(homeless.join(wide.select("entity_id", "town", "post", "state"), "entity_id").select("entity_id", *profile), "homeless")
+    homeless = cut(homeless.join(wide.filter("source <> 1 and anchor = ''").select("entity_id", "town", "post", "state"), "entity_id").select("entity_id", *profile), "homeless")
     profiles = homeless.select(*profile).distinct().withColumn("profile", F.xxhash64(*[F.coalesce(c, F.lit("?")) if c != "group" else F.col(c) for c in profile]))
-    owners = first.join(profiles.select("group").distinct(), "group", "left_semi").select("group", "entity_id", "country").join(wide, "entity_id")
+    owners = first.join(profiles.select("group").distinct(), "group", "left_semi").select("group", "entity_id", "country").join(wide.filter("source = 1"), "entity_id")
     owners = cut(owners.select("group", F.col("entity_id").alias("s1_id"), F.col("town").alias("t1"), F.col("post").alias("p1"), F.col("state").alias("st1"), F.col("country").alias("c1")), "owners")
     placed = profiles.filter("town <> ''").withColumn("key", F.explode(keys("town", F.lit(""))))
     near = placed.join(owners.filter("t1 <> ''").withColumn("key", F.explode(keys("t1", F.lit("")))), ["group", "key"]).drop("key").distinct()
@@ -334,4 +335,6 @@ def linked_records(records: DataFrame) -> DataFrame:
     deliveries count once. Ties between source-1 records equally near a candidate share its confidence. Columns not named here are not read.
     """
     read = cut(read_records(records), "read")
-    return soft_matches(candidate_pairs(read))
+    pairs = candidate_pairs(read)
+    drop(read)
+    return soft_matches(pairs)

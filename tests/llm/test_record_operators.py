@@ -3,6 +3,8 @@
 import itertools
 import os
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("rowkin.llm")
 
+from rowkin import session  # noqa: E402
+from rowkin.llm import clusters  # noqa: E402
 from rowkin.llm.addresses import parse_address  # noqa: E402
 from rowkin.llm.clusters import chunk_stream, components, group_stream  # noqa: E402
 from rowkin.llm.linkage import CONFIDENT, candidate_pairs, hinge_step, linked_records, read_records, soft_matches, solve_blocks  # noqa: E402
@@ -60,6 +64,48 @@ def test_components_against_union_find(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+
+def test_components_keep_one_table_and_settle_over_many_tasks(spark, monkeypatch):
+    written = []
+    real = clusters.cut
+    monkeypatch.setattr(clusters, "cut", lambda df, name: (written.append(real(df, name)), written[-1])[1])
+    chain = [(i, i + 1) for i in range(300)]
+    random.Random(5).shuffle(chain)
+    many = [(1000 + i % 7, 2000 + i) for i in range(400)] + [(2000 + i, 3000 + i % 11) for i in range(400)]
+    # small batches in several tasks, so that no task sees a whole component
+    settings = {"spark.sql.execution.arrow.maxRecordsPerBatch": "7", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        labels = {r["node"]: r["label"] for r in components(spark.createDataFrame(chain + many, "a long, b long")).collect()}
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+    assert labels == {**dict.fromkeys(range(301), 0), **dict.fromkeys({x for e in many for x in e}, 1000)}
+    # every round's table is deleted once the next is written
+    assert len(written) > 2
+    assert [os.path.exists(t.scratch_path) for t in written] == [False] * (len(written) - 1) + [True]
+
+
+def test_tables_in_between_leave_no_shuffle_and_no_dead_tables(spark):
+    def shuffles():
+        folders = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()
+        return {f.name for folder in folders for f in Path(folder.getPath()).rglob("shuffle_*.data")}
+
+    before, setting = shuffles(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(setting, None)
+    table = session.cut(spark.range(1000).repartition(4, "id"), "spread")
+    for _ in range(20):
+        if shuffles() <= before:
+            break
+        time.sleep(0.2)
+    assert shuffles() <= before
+    assert spark.conf.get(setting, None) == was
+    assert table.count() == 1000
+    session.drop(table)
+    assert not os.path.exists(table.scratch_path)
+
+
 def test_streams_keep_groups_whole(spark):
     import pyarrow as pa
 
